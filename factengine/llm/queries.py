@@ -2,13 +2,17 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontam, lm, media, toxicity, urls, warc
+from . import bpe, chat, decontam, lm, media, neardup, toxicity, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.to_wav(_table(spark, sf_dir, "documents"), keep=["doc_id"])
     read = media.wav_features(stored, keep=["doc_id", "n_bytes"])
@@ -90,7 +94,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_media_columns, op3_url_filter, op4_lm_scoring, op6_chat_format, op7_toxicity, op8_warc_fixity, op9_byte_bpe, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_media_columns, op3_url_filter, op4_lm_scoring, op6_chat_format, op7_toxicity, op8_warc_fixity, op9_byte_bpe, op10_decontamination)}
 ORACLE: dict[str, str] = {
     "op6_chat_format": r"""
         with rows as (
