@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontam, lm, media, neardup, toxicity, urls, warc
+from . import bpe, chat, decontam, lm, media, neardup, suffix, toxicity, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix.dedup_substrings(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
@@ -94,7 +99,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_media_columns, op3_url_filter, op4_lm_scoring, op6_chat_format, op7_toxicity, op8_warc_fixity, op9_byte_bpe, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_media_columns, op3_url_filter, op4_lm_scoring, op5_suffix_dedup, op6_chat_format, op7_toxicity, op8_warc_fixity, op9_byte_bpe, op10_decontamination)}
 ORACLE: dict[str, str] = {
     "op6_chat_format": r"""
         with rows as (
