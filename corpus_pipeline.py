@@ -1,7 +1,8 @@
 """Corpus cleaning: toxicity, near-duplicates, repeated passages, benchmark passages, tokens.
 
 Every stage but the last returns the columns of ``documents``. A text that loses
-passages may lose part of a character at a cut; such a part becomes U+FFFD.
+passages may lose part of a character at a cut; such a part becomes U+FFFD. Columns besides those of ``documents`` are
+dropped at the start; null texts count as empty and stay.
 """
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,6 +12,7 @@ from factengine.llm.common import freeze, utf8
 
 #: No stage that learns or hashes word sets is written in SQL; tests compare run() with a plain version.
 ORACLE_SQL = None
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,28 +20,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
     model = toxicity.train(docs, labels, fold != 0)
-    return toxicity.score(docs, model, keep=docs.columns).where(F.col("score") < 0.5).select(*docs.columns)
+    return toxicity.score(docs, model, keep=COLUMNS).where(F.col("score") < 0.5).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest id of each group of texts with five-word shingles at least 0.8 similar."""
     found = neardup.near_duplicates(docs, shingle=5, percent=80)
     kept = found.where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 50 bytes and more that a smaller id has too."""
-    cut = suffix.dedup_substrings(docs, keep=[c for c in docs.columns if c != "text"])
+    cut = suffix.dedup_substrings(docs, keep=["doc_id", "lang", "source", "n_chars"])
     text = F.make_valid_utf8(F.col("kept").cast("string"))
-    return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than one word in twenty stands in a benchmark window."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontam.find_contamination(docs, benchmark, keep=docs.columns)
-    return found.where(~decontam.contaminated()).select(*docs.columns)
+    found = decontam.find_contamination(docs, benchmark, keep=COLUMNS)
+    return found.where(~decontam.contaminated()).select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

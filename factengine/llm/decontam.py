@@ -96,8 +96,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     spark = docs.sparkSession
     keep = list(keep)
     head = fields(docs, keep)
-    schema = head + "norm binary, n_words bigint, hit array<int>, items array<string>"
-    out = docs.select(*keep, utf8().alias("norm"), F.lit(0).cast("bigint").alias("n_words"), F.array().cast("array<int>").alias("hit"), F.array().cast("array<string>").alias("items"))
+    schema = head + "__norm binary, n_words bigint, __hit array<int>, items array<string>"
+    out = docs.select(*keep, utf8().alias("__norm"), F.lit(0).cast("bigint").alias("n_words"), F.array().cast("array<int>").alias("__hit"), F.array().cast("array<string>").alias("items"))
     k = len(keep)
     for part in _automata(benchmark_windows(benchmark, window)):
         sent = spark.sparkContext.broadcast(part)
@@ -124,7 +124,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         return lambda r: (*r[:k], r[k + 1], len(r[k + 2]), r[k + 3], _spans(r[k], r[k + 2]) if r[k + 2] else [])
 
     # only hit rows need their normalised text again
-    out = out.withColumn("norm", F.when(F.size("hit") > 0, F.col("norm")).otherwise(F.lit(b"")))
+    out = out.withColumn("__norm", F.when(F.size("__hit") > 0, F.col("__norm")).otherwise(F.lit(b"")))
     return map_rows(out, spans, head + "n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>")
 
 

@@ -84,7 +84,7 @@ def to_wav(docs: DataFrame, keep: list[str] = ("doc_id",)) -> DataFrame:
     def make():
         return lambda r: (*r[:-1], len(r[-1]), wav_bytes(r[-1]))
 
-    return map_rows(docs.select(*keep, utf8().alias("raw")), make, fields(docs, keep) + "n_bytes bigint, media binary")
+    return map_rows(docs.select(*keep, utf8().alias("__raw")), make, fields(docs, keep) + "n_bytes bigint, media binary")
 
 
 def wav_features(media: DataFrame, keep: list[str] = ("doc_id",)) -> DataFrame:

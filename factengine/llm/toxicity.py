@@ -143,7 +143,7 @@ def score(docs: DataFrame, model: dict, keep: list[str] = ("doc_id",)) -> DataFr
 
         return row
 
-    return map_rows(docs.select(*keep, utf8().alias("text")), make, fields(docs, keep) + "score double, worst struct<start:bigint,end:bigint>, worst_score double")
+    return map_rows(docs.select(*keep, utf8().alias("__text")), make, fields(docs, keep) + "score double, worst struct<start:bigint,end:bigint>, worst_score double")
 
 
 def locate(text: bytes, sentence: int) -> dict | None:
