@@ -5,9 +5,11 @@
    anchor; equal windows have equal anchors. Anchor hashes are counted per hash
    bucket, and each chunk learns which of its anchors other documents share.
 3. Around each shared anchor, the stretch of text that its windows can span is a
-   context. Distinct contexts (with the smallest id that has them) are dealt by
-   anchor into buckets, so all equal windows meet in one bucket, and cut there into
-   shards of SHARD_BYTES. Each shard gets a suffix array by Larsson-Sadakane
+   context. Hashes of contexts are dealt by anchor into buckets, which answer with
+   the smallest id that has a context: its other owners lose all of its windows.
+   The texts of contexts whose anchor has others too follow into the same bucket,
+   so all equal windows meet in one bucket, and are cut there into shards of
+   SHARD_BYTES. Each shard gets a suffix array by Larsson-Sadakane
    refinement and common prefixes by Kasai's method; suffixes with a common prefix
    of 50 bytes are one window, with its smallest id. Shards are merged by binary
    search of one shard's sorted windows in the others'.
@@ -26,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -269,51 +272,23 @@ def _text_chunks(docs: DataFrame, keep: list[str]) -> DataFrame:
     return spark.table(name)
 
 
-def _loaded(left: pa.Table, copies: set[int]):
-    """(rows, texts, joined bytes, ends) of the documents of a chunk that are not copies."""
-    rows, texts = left["row"].to_pylist(), left["text"].to_pylist()
-    own = [i for i, (r, t) in enumerate(zip(rows, texts)) if r not in copies and len(t) >= WINDOW]
-    texts = [texts[i] for i in own]
-    return own, texts, np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts], dtype=np.int64)
+#: What bucket jobs send to a chunk: packed arrays a and b of one kind.
+MAIL = "chunk bigint, kind string, bucket int, a binary, b binary"
 
 
-def _copies(right: pa.Table) -> set[int]:
-    return {r for x in right["copies"].to_pylist() if x is not None for r in x}
+def _mail(right: pa.Table) -> dict[str, list[tuple]]:
+    out: dict[str, list[tuple]] = {"copies": [], "anchors": [], "first": [], "mask": []}
+    for kind, *rest in zip(*(right[c].to_pylist() for c in ("kind", "bucket", "a", "b"))):
+        out[kind].append(tuple(rest))
+    return out
 
 
-def _shared_anchors(chunks: DataFrame, copies: DataFrame, buckets: int) -> DataFrame:
-    """(chunk, anchors): packed hashes of each chunk's anchors that several documents have."""
-    pack = _rows("chunk bigint, bucket int, once binary, more binary")
-
-    def count(left: pa.Table, right: pa.Table) -> pa.Table:
-        chunk = (left if len(left) else right)["chunk"][0].as_py()
-        _, _, raw, ends = _loaded(left, _copies(right))
-        at, hashes = anchors(raw, ends)
-        doc = np.searchsorted(ends, at, side="right")
-        by = np.lexsort((doc, hashes))
-        h, d = hashes[by], doc[by]
-        new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
-        several = np.unique(h[1:][(h[1:] == h[:-1]) & (d[1:] != d[:-1])])
-        distinct = h[new]
-        more = np.isin(distinct, several)
-        part = (distinct % np.uint64(buckets)).astype(np.int64)
-        out = []
-        for b in np.unique(part).tolist():
-            out.append((chunk, b, _pack_sorted(distinct[(part == b) & ~more]), _pack_sorted(distinct[(part == b) & more])))
-        return pack(out)
+def _longs(values: np.ndarray) -> bytes:
+    return pack_ints(values.astype(np.int64).view(np.uint64))
 
-    answer = _rows("chunk bigint, anchors binary")
-
-    def shared(group: pa.Table) -> pa.Table:
-        chunk = group["chunk"].to_pylist()
-        once = [_unpack_sorted(x) for x in group["once"].to_pylist()]
-        more = [_unpack_sorted(x) for x in group["more"].to_pylist()]
-        found, n = np.unique(np.concatenate([*once, *more, *more]), return_counts=True)
-        found = found[n > 1]
-        return answer([(c, _pack_sorted(np.sort(np.concatenate([a[np.isin(a, found, assume_unique=True)], b])))) for c, a, b in zip(chunk, once, more)])
 
-    seen = chunks.select("chunk", "row", "text").groupBy("chunk").cogroup(copies.groupBy("chunk")).applyInArrow(count, "chunk bigint, bucket int, once binary, more binary")
-    return seen.groupBy("bucket").applyInArrow(shared, "chunk bigint, anchors binary")
+def _ids(data: bytes) -> np.ndarray:
+    return unpack_ints(data).astype(np.uint64).view(np.int64)
 
 
 def _pack_sorted(values: np.ndarray) -> bytes:
@@ -324,34 +299,187 @@ def _unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpack_ints(data).astype(np.uint64), dtype=np.uint64)
 
 
-def _contexts(chunks: DataFrame, notes: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, context, id, chunk, row, at): the surroundings of every shared anchor."""
-    schema = "bucket int, context binary, id bigint, chunk bigint, row int, at bigint"
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        own, texts, raw, ends = _loaded(left, _copies(right))
-        known = [_unpack_sorted(x) for x in right["anchors"].to_pylist() if x is not None]
-        known = np.sort(np.concatenate(known)) if known else np.zeros(0, np.uint64)
-        at, hashes = anchors(raw, ends)
+class Chunk:
+    """A chunk's documents that take part, joined, with the anchors they share with other documents."""
+
+    def __init__(self, left: pa.Table, mail: dict[str, list[tuple]]):
+        self.chunk = left["chunk"][0].as_py()
+        self.copies = {r for _, a, _ in mail["copies"] for r in _ids(a).tolist()}
+        rows, texts = left["row"].to_pylist(), left["text"].to_pylist()
+        own = [i for i, (r, t) in enumerate(zip(rows, texts)) if r not in self.copies and len(t) >= WINDOW]
+        self.rows = np.array([rows[i] for i in own], np.int64)
+        self.data = b"".join(texts[i] for i in own)
+        self.ends = np.cumsum([len(texts[i]) for i in own], dtype=np.int64)
+        self.at, self.anchor = anchors(np.frombuffer(self.data, np.uint8), self.ends)
+        ids = left["id"].to_numpy() if "id" in left.column_names else np.zeros(len(rows), np.int64)
+        self.ids = ids[own]
+
+    def keep_shared(self, mail) -> None:
+        """Only anchors that the mail names; ``key`` hashes each one's context, data[lo:hi]."""
+        known = np.sort(np.concatenate([_unpack_sorted(a) for _, a, _ in mail["anchors"]] or [np.zeros(0, np.uint64)]))
         if len(known):
-            take = known[np.searchsorted(known, hashes).clip(max=len(known) - 1)] == hashes
-            at, hashes = at[take], hashes[take]
+            take = known[np.searchsorted(known, self.anchor).clip(max=len(known) - 1)] == self.anchor
         else:
-            at, hashes = at[:0], hashes[:0]
-        doc = np.searchsorted(ends, at, side="right")
-        begin = np.concatenate([[0], ends[:-1]])[doc] if len(doc) else at
-        lo, hi = np.maximum(at - SPAN, begin), np.minimum(at + GRAM + SPAN, ends[doc] if len(doc) else at)
-        data = raw.tobytes()
-        ids, rows = (np.array([left[c][i].as_py() for i in own], np.int64) for c in ("id", "row"))
-        chunk = (left if len(left) else right)["chunk"][0].as_py()
-        return pa.table({
-            "bucket": pa.array((hashes % np.uint64(buckets)).astype(np.int32)),
-            "context": pa.array([data[a:b] for a, b in zip(lo.tolist(), hi.tolist())], pa.binary()),
-            "id": pa.array(ids[doc] if len(doc) else at, pa.int64()), "chunk": pa.array(np.full(len(at), chunk), pa.int64()),
-            "row": pa.array((rows[doc] if len(doc) else at).astype(np.int32), pa.int32()), "at": pa.array(lo - begin, pa.int64()),
-        })
-
-    return chunks.select("chunk", "row", "id", "text").groupBy("chunk").cogroup(notes.groupBy("chunk")).applyInArrow(run, schema)
+            take = np.zeros(len(self.at), bool)
+        self.at, self.anchor = self.at[take], self.anchor[take]
+        self.doc = np.searchsorted(self.ends, self.at, side="right")
+        starts = np.concatenate([[0], self.ends])
+        self.begin = starts[self.doc]
+        self.lo, self.hi = np.maximum(self.at - SPAN, self.begin), np.minimum(self.at + GRAM + SPAN, starts[1:][self.doc])
+        contexts = (self.data[x:y] for x, y in zip(self.lo.tolist(), self.hi.tolist()))
+        self.key = np.fromiter(map(xxhash.xxh3_64_intdigest, contexts), np.uint64, len(self.at))
+        self.id = self.ids[self.doc]
+
+    def entries(self, buckets: int):
+        """(order of occurrences, entry of each in that order, first occurrence of each entry): entries are the chunk's distinct (anchor, context), by bucket."""
+        bucket = self.anchor % np.uint64(buckets)
+        order = np.lexsort((self.id, self.key, self.anchor, bucket))
+        a, k = self.anchor[order], self.key[order]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (k[1:] != k[:-1])]) if len(a) else np.zeros(0, bool)
+        return order, np.cumsum(new) - 1, order[new], bucket[order[new]].astype(np.int64)
+
+
+def _cogroup(chunks: DataFrame, mail: DataFrame, columns: list[str], f, schema: str) -> DataFrame:
+    """f(left, mail) -> rows for every chunk."""
+    table = _rows(schema)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return table(list(f(left, _mail(right)))) if len(left) else table([])
+
+    return chunks.select("chunk", "row", "text", *columns).groupBy("chunk").cogroup(mail.groupBy("chunk")).applyInArrow(run, schema)
+
+
+def _shared_anchors(chunks: DataFrame, copies: DataFrame, buckets: int) -> DataFrame:
+    """MAIL of kind anchors: packed hashes of each chunk's anchors that several documents have."""
+
+    def count(left, mail):
+        c = Chunk(left, mail)
+        doc = np.searchsorted(c.ends, c.at, side="right")
+        by = np.lexsort((doc, c.anchor))
+        h, d = c.anchor[by], doc[by]
+        several = np.unique(h[1:][(h[1:] == h[:-1]) & (d[1:] != d[:-1])])
+        distinct = np.unique(h)
+        more = np.isin(distinct, several, assume_unique=True)
+        part = (distinct % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else []:
+            yield c.chunk, "", int(part[at[0]]), _pack_sorted(distinct[at[~more[at]]]), _pack_sorted(distinct[at[more[at]]])
+
+    table = _rows(MAIL)
+
+    def shared(group: pa.Table) -> pa.Table:
+        bucket = group["bucket"][0].as_py()
+        once, more = ([_unpack_sorted(x) for x in group[k].to_pylist()] for k in ("a", "b"))
+        found, n = np.unique(np.concatenate([*once, *more, *more]), return_counts=True)
+        found = found[n > 1]
+        hits = [np.sort(np.concatenate([a[np.isin(a, found, assume_unique=True)], b])) for a, b in zip(once, more)]
+        return table([(c, "anchors", bucket, _pack_sorted(x), None) for c, x in zip(group["chunk"].to_pylist(), hits) if len(x)])
+
+    seen = _cogroup(chunks, copies, [], count, MAIL)
+    return seen.groupBy("bucket").applyInArrow(shared, MAIL)
+
+
+def _first_ids(chunks: DataFrame, mail: DataFrame, buckets: int) -> DataFrame:
+    """MAIL of kind first: for each of a chunk's entries the smallest id that has this context, and whether the chunk is to send its text, because the anchor has other contexts too."""
+
+    def send(left, mail):
+        c = Chunk(left, mail)
+        c.keep_shared(mail)
+        _, _, head, bucket = c.entries(buckets)
+        for at in np.split(np.arange(len(head)), np.flatnonzero(np.diff(bucket)) + 1) if len(head) else []:
+            x = head[at]
+            yield c.chunk, int(bucket[at[0]]), _pack_sorted(c.anchor[x]), c.key[x].tobytes(), _longs(c.id[x])
+
+    table = _rows(MAIL)
+
+    def settle(group: pa.Table) -> pa.Table:
+        bucket = group["bucket"][0].as_py()
+        parts = [_unpack_sorted(x) for x in group["anchors"].to_pylist()]
+        anchor = np.concatenate(parts)
+        key = np.frombuffer(b"".join(group["keys"].to_pylist()), np.uint64)
+        ids = np.concatenate([_ids(x) for x in group["ids"].to_pylist()])
+        by = np.lexsort((ids, key, anchor))
+        a, k = anchor[by], key[by]
+        other = np.concatenate([[True], a[1:] != a[:-1]])
+        new = other | np.concatenate([[True], k[1:] != k[:-1]])
+        first = np.empty(len(by), np.int64)
+        first[by] = ids[by][np.flatnonzero(new)][np.cumsum(new) - 1]
+        group_ = np.cumsum(other) - 1
+        several = np.empty(len(by), bool)
+        several[by] = (np.bincount(group_, new) > 1)[group_]
+        want = (several & (ids == first)).astype(np.uint8)
+        cuts = np.cumsum([len(p) for p in parts])[:-1]
+        pairs = zip(group["chunk"].to_pylist(), np.split(first, cuts), np.split(want, cuts))
+        return table([(c, "first", bucket, _longs(f), pack_ints(w)) for c, f, w in pairs])
+
+    seen = _cogroup(chunks, mail, ["id"], send, "chunk bigint, bucket int, anchors binary, keys binary, ids binary")
+    return seen.groupBy("bucket").applyInArrow(settle, MAIL)
+
+
+def _firsts(mail) -> tuple[np.ndarray, np.ndarray]:
+    """(first, want) of all entries, in entry order."""
+    parts = sorted(mail["first"])
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    return np.concatenate([_ids(a) for _, a, _ in parts]), np.concatenate([unpack_ints(b) for _, _, b in parts]) > 0
+
+
+def _masks(chunks: DataFrame, mail: DataFrame, buckets: int) -> DataFrame:
+    """MAIL of kind mask: by suffix arrays, which windows of a context smaller ids have in other contexts of the anchor."""
+
+    def send(left, mail):
+        c = Chunk(left, mail)
+        c.keep_shared(mail)
+        _, _, head, bucket = c.entries(buckets)
+        first, want = _firsts(mail)
+        for i in np.flatnonzero(want).tolist():
+            x = head[i]
+            yield int(bucket[i]), c.chunk, int(c.anchor[x]), int(c.key[x].view(np.int64)), c.data[c.lo[x] : c.hi[x]], int(first[i])
+
+    table = _rows(MAIL)
+
+    def settle(group: pa.Table) -> pa.Table:
+        group = group.sort_by("anchor")
+        bucket = group["bucket"][0].as_py()
+        mask = earlier_windows(group["context"].to_pylist(), group["first"].to_numpy())
+        chunk, key = group["chunk"].to_numpy(), group["key"].to_numpy()
+        hit = np.flatnonzero(mask)
+        hit = hit[np.argsort(chunk[hit], kind="stable")]
+        out = []
+        for at in np.split(hit, np.flatnonzero(np.diff(chunk[hit])) + 1) if len(hit) else []:
+            out.append((int(chunk[at[0]]), "mask", bucket, key[at].tobytes(), mask[at].tobytes()))
+        return table(out)
+
+    texts = _cogroup(chunks, mail, ["id"], send, "bucket int, chunk bigint, anchor bigint, key bigint, context binary, first bigint")
+    return texts.groupBy("bucket").applyInArrow(settle, MAIL)
+
+
+def _covered(c: Chunk, mail, buckets: int) -> np.ndarray:
+    """Which bytes of the chunk's joined texts go."""
+    edge = np.zeros(len(c.data) + 1, np.int64)
+    c.keep_shared(mail)
+    order, entry, head, _ = c.entries(buckets)
+    first, _ = _firsts(mail)
+    if len(order):
+        mask = np.zeros(len(head), np.int64)
+        keys = np.frombuffer(b"".join(a for _, a, _ in mail["mask"]), np.int64)
+        bits = np.frombuffer(b"".join(b for _, _, b in mail["mask"]), np.int64)
+        mine = c.key[head].view(np.int64)
+        if len(keys):  # short texts may have one context around several anchors: their masks add up
+            keys, start = np.unique(keys[by := np.argsort(keys, kind="stable")], return_index=True)
+            bits = np.bitwise_or.reduceat(bits[by], start)
+            place = np.searchsorted(keys, mine).clip(max=len(keys) - 1)
+            mask = np.where(keys[place] == mine, bits[place], 0)
+        for at in range(0, len(order), 1 << 16):  # occurrences with their entries, some at a time
+            x, e = order[at : at + (1 << 16)], entry[at : at + (1 << 16)]
+            windows = np.where(c.id[x] > first[e], (1 << (CONTEXT - WINDOW + 1)) - 1, mask[e])
+            some = np.flatnonzero(windows)
+            x, windows = x[some], windows[some]
+            offset = np.arange(CONTEXT - WINDOW + 1)
+            gone = ((windows[:, None] >> offset) & 1 == 1) & (offset <= (c.hi[x] - c.lo[x])[:, None] - WINDOW)
+            start = (c.lo[x][:, None] + offset)[gone]
+            edge += np.bincount(start, minlength=len(edge)) - np.bincount(start + WINDOW, minlength=len(edge))
+    return np.cumsum(edge[:-1]) > 0
 
 
 def dedup_substrings(docs: DataFrame, keep: list[str] = ("doc_id",)) -> DataFrame:
@@ -363,58 +491,30 @@ def dedup_substrings(docs: DataFrame, keep: list[str] = ("doc_id",)) -> DataFram
     # exact copies: only a text's smallest id takes part; the others lose everything
     heads = chunks.groupBy("hash").agg(F.min("id").alias("head"), F.count("*").alias("n")).where(F.col("n") > 1)
     copies = chunks.select("chunk", "row", "id", "hash").join(heads.select("hash", "head"), "hash").where(F.col("id") > F.col("head"))
-    copies = freeze(copies.groupBy("chunk").agg(F.collect_list("row").alias("copies")), "copies")  # at most a chunk's rows
-
-    anchors_ = freeze(_shared_anchors(chunks, copies, buckets), "anchors")
-    none = F.lit(None)
-    notes = anchors_.select("chunk", "anchors", none.cast("array<int>").alias("copies")).unionAll(copies.select("chunk", none.cast("binary"), "copies"))
-    found = freeze(_contexts(chunks, notes, buckets), "contexts")
-
-    distinct = found.groupBy("bucket", "context").agg(F.min("id").alias("first"), (F.min("id") < F.max("id")).alias("repeated"))
-
-    def masks(group: pa.Table) -> pa.Table:
-        contexts, ids = group["context"].to_pylist(), group["first"].to_numpy()
-        mask = earlier_windows(contexts, ids)
-        use = (mask != 0) | np.array(group["repeated"].to_pylist())
-        out = pa.table({"bucket": group["bucket"].cast(pa.int32()), "context": group["context"], "first": group["first"], "mask": pa.array(mask)})
-        return out.filter(pa.array(use))
-
-    earlier = distinct.groupBy("bucket").applyInArrow(masks, "bucket int, context binary, first bigint, mask bigint")
-    every = (F.lit(1).cast("bigint") * (1 << 62)) - 1  # all offsets, cut to the context's own below
-    named = [F.xxhash64("context").alias("h1"), F.xxhash64("context", F.lit(1)).alias("h2")]
-    met = found.select("bucket", *named, F.octet_length("context").alias("size"), "id", "chunk", "row", "at")
-    gone = met.join(earlier.select("bucket", *named, "first", "mask"), ["bucket", "h1", "h2"]).select(
-        "chunk", "row", "at", "size", F.when(F.col("id") > F.col("first"), every).otherwise(F.col("mask")).alias("mask")
-    ).where(F.col("mask") != 0)
-    cuts = gone.select("chunk", F.struct("row", "at", "size", "mask").alias("cut"), none.cast("array<int>").alias("copies"))
-    cuts = cuts.unionAll(copies.select("chunk", none.cast(cuts.schema["cut"].dataType), "copies"))
-    schema = fields(docs, keep) + "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
-    table = _rows(schema)
+    table = _rows(MAIL)
 
-    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        copies = _copies(right)
-        cuts = right["cut"].combine_chunks().drop_null()
-        of, at, size, mask = (cuts.field(k).to_numpy() for k in ("row", "at", "size", "mask"))
-        by = np.argsort(of, kind="stable")
-        of, at, size, mask = of[by], at[by], size[by], mask[by]
-        out = []
-        values = zip(left["row"].to_pylist(), left["text"].to_pylist(), *(left[c].to_pylist() for c in keep))
+    def pack(group: pa.Table) -> pa.Table:
+        return table([(group["chunk"][0].as_py(), "copies", 0, _longs(group["row"].to_numpy()), None)])
+
+    copies = freeze(copies.select("chunk", F.col("row").cast("bigint").alias("row")).groupBy("chunk").applyInArrow(pack, MAIL), "copies")
+    mail = copies.unionAll(freeze(_shared_anchors(chunks, copies, buckets), "anchors"))
+    mail = mail.unionAll(freeze(_first_ids(chunks, mail, buckets), "first"))
+    mail = mail.unionAll(freeze(_masks(chunks, mail, buckets), "masks"))
+
+    def cut(left, mail):
+        c = Chunk(left, mail)
+        gone = _covered(c, mail, buckets)
+        span = dict(zip(c.rows.tolist(), zip(np.concatenate([[0], c.ends[:-1]]).tolist(), c.ends.tolist())))
+        values = zip(left["row"].to_pylist(), left["text"].to_pylist(), *(left[k].to_pylist() for k in keep))
         for row, text, *kept in values:
-            if row in copies and len(text) >= WINDOW:
-                out.append((*kept, len(text), len(text), 1, b""))
+            if row in c.copies and len(text) >= WINDOW:
+                yield *kept, len(text), len(text), 1, b""
                 continue
-            lo, hi = np.searchsorted(of, [row, row + 1])
-            if lo < hi:
-                bits = (mask[lo:hi, None] >> np.arange(CONTEXT - WINDOW + 1)) & 1
-                bits &= np.arange(CONTEXT - WINDOW + 1) <= (size[lo:hi, None] - WINDOW)
-                begin = (at[lo:hi, None] + np.arange(CONTEXT - WINDOW + 1))[bits == 1]
-                edge = np.bincount(begin, minlength=len(text) + 1) - np.bincount(begin + WINDOW, minlength=len(text) + 1)
-                lost = np.cumsum(edge[:-1]) > 0
-                spans = int((lost & ~np.concatenate([[False], lost[:-1]])).sum())
-                out.append((*kept, len(text), int(lost.sum()), spans, np.frombuffer(text, np.uint8)[~lost].tobytes()))
-            else:
-                out.append((*kept, len(text), 0, 0, text))
-        return table(out)
+            lost = gone[slice(*span.get(row, (0, 0)))]
+            if not lost.any():
+                yield *kept, len(text), 0, 0, text
+                continue
+            spans = int((lost & ~np.concatenate([[False], lost[:-1]])).sum())
+            yield *kept, len(text), int(lost.sum()), spans, np.frombuffer(text, np.uint8)[~lost].tobytes()
 
-    whole = chunks.select("chunk", "row", "text", *keep)
-    return whole.groupBy("chunk").cogroup(cuts.groupBy("chunk")).applyInArrow(cut, schema)
+    return _cogroup(chunks, mail, ["id", *(k for k in keep if k not in ("row", "text", "id"))], cut, fields(docs, keep) + "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
