@@ -1,6 +1,8 @@
 """Queries over the driver's tables, with the SQL that checks them."""
 
-from . import rule_queries, scalar_queries  # noqa: F401
+from . import rule_queries, scalar_queries  # noqa: F401, I001
+from . import norm_queries  # noqa: F401
+from . import ops_queries  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
