@@ -36,10 +36,11 @@ def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 
 
 def read_csv_report(spark: SparkSession, path: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(good rows, ragged rows as text)."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, CORRUPT]])
-    rows = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("escape", '"').csv(path)
-    return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT), rows.where(F.col(CORRUPT).isNotNull()).select(columns[0], CORRUPT)
+    """(good rows, ragged rows as text), line by line."""
+    ddl = ", ".join(f"{c} string" for c in [*columns, CORRUPT])
+    lines = spark.read.text(path).where((F.col("value") != ",".join(columns)) & (F.trim("value") != ""))
+    rows = lines.select(F.from_csv("value", ddl, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "escape": '"'}).alias("r")).select("r.*")
+    return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT), rows.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
 
 
 def read_cases(spark: SparkSession, path: str, json_schema: str) -> DataFrame:
