@@ -3,13 +3,15 @@
 Each text's set of word shingles is hashed to MinHash samples; BANDS groups of
 ROWS samples find candidates, and the samples folded into a parity bitmap (an odd
 sketch) estimate a candidate pair's similarity by the population count of the
-XOR. What the estimate leaves (ESTIMATE, ten standard deviations below the
+XOR. What the estimate leaves (ESTIMATE, seven standard deviations below the
 threshold 0.8) is confirmed on the full shingle sets.
 
 Equal sets are one class (64-bit hash of the set) before any pairing. A band
-bucket is a star around its smallest class, so it gives a candidate per member,
-not per pair; each class's best hub is confirmed first, and only pairs of
-different components that still share a bucket are looked at again, all of them.
+bucket is a star around three of its classes, so it gives candidates per member,
+not per pair; each class's best hub is confirmed first. What a bucket then still
+holds in different components is compared whole: in buckets of up to SMALL members
+pair by pair, in larger ones the members outside the largest component, in blocks,
+against all members, in blocks.
 Hubs are salted, so a group with any share of all rows is spread over tasks.
 The chance that no band holds a pair of similarity 0.8 is below 1e-6.
 
@@ -27,8 +29,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import bounded_batches, fields, freeze, map_rows, utf8
 from .lm import split_words
 
-BANDS, ROWS, SKETCH, SALT = 48, 6, 1024, 256
-ESTIMATE = 0.55
+BANDS, ROWS, SKETCH, SALT, SMALL = 48, 6, 1024, 256, 32
+ESTIMATE = 0.6
 _RNG = np.random.default_rng(11)
 _A = (_RNG.integers(1, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1))[:, None]
 _B = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32)[:, None]
@@ -106,43 +108,80 @@ def _estimate(a: str, b: str):
     return F.lit(1.0) + F.lit(SKETCH / (4.0 * BANDS * ROWS)) * F.log(inside)
 
 
-def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b) of the candidate pairs whose full sets are similar; b is the hub."""
-    salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
-    members = pairs.join(salts, "b").select(F.col("a").alias("cls"), F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), "salts").cast("int").alias("salt"), F.lit(True).alias("member"))
-    hubs = salts.select(F.col("b").alias("cls"), F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"))
-    wanted = members.unionAll(hubs).join(classes.select("cls", F.col("first").alias("wanted_id")), "cls")
-    texts = docs.select(F.col("doc_id").alias("text_id"), utf8().alias("text")).join(wanted, F.col("text_id").eqNullSafe(F.col("wanted_id")))
+def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(cls, shingles) of the wanted classes, from the text of each one's first document."""
+    first = wanted.distinct().join(classes.select("cls", F.col("first").alias("wanted_id")), "cls")
+    texts = docs.select(F.col("doc_id").alias("text_id"), utf8().alias("text")).join(first, F.col("text_id").eqNullSafe(F.col("wanted_id")))
 
     def make():
         shingles = shingler(k)
 
         def row(r):
-            found = shingles(r[4])
-            return (*r[:4], found.tobytes()) if class_of(found) == r[0] else None
+            found = shingles(r[1])
+            return (r[0], found.tobytes()) if class_of(found) == r[0] else None
 
         return row
 
-    sets = map_rows(texts.select("cls", "hub", "salt", "member", "text"), make, "cls bigint, hub bigint, salt int, member boolean, shingles binary")
+    # an id may stand at several rows with the same text
+    return freeze(map_rows(texts.select("cls", "text"), make, "cls bigint, shingles binary").dropDuplicates(["cls"]), "shingle_sets")
+
+
+def _similar(full: np.ndarray, mine: np.ndarray, percent: int) -> bool:
+    both = int((full[np.searchsorted(full, mine).clip(max=len(full) - 1)] == mine).sum())
+    return 100 * both >= percent * (len(full) + len(mine) - both)
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the candidate pairs whose full sets are similar; b is the hub, sent once for SALT members."""
+    salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
+    members = pairs.join(salts, "b").select(F.col("a").alias("cls"), F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), "salts").cast("int").alias("salt"), F.lit(True).alias("member"))
+    hubs = salts.select(F.col("b").alias("cls"), F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"))
+    dealt = members.unionAll(hubs).join(sets, "cls").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member", "cls")
 
     def run(batches):
         at, full = None, None
         for batch in batches:
             out = []
             for cls, hub, salt, member, data in zip(*(c.to_pylist() for c in batch.columns)):
-                mine = np.frombuffer(data, np.uint64)
                 if not member:
-                    at, full = (hub, salt), mine
-                elif at == (hub, salt):
-                    where = np.searchsorted(full, mine).clip(max=len(full) - 1)
-                    both = int((full[where] == mine).sum())
-                    if 100 * both >= percent * (len(full) + len(mine) - both):
-                        out.append((cls, hub))
+                    at, full = (hub, salt), np.frombuffer(data, np.uint64)
+                elif at == (hub, salt) and _similar(full, np.frombuffer(data, np.uint64), percent):
+                    out.append((cls, hub))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    order = ["hub", "salt", "member", "cls"]
-    dealt = sets.repartition("hub", "salt").sortWithinPartitions(*order).select("cls", "hub", "salt", "member", "shingles")
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    return dealt.select("cls", "hub", "salt", "member", "shingles").mapInArrow(run, "a bigint, b bigint")
+
+
+def _verify_blocks(comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components of each bucket of comp (band, cls, comp): members outside the bucket's largest component, in blocks, against all its members, in blocks; one link for each member and component it reaches."""
+    sizes = comp.groupBy("band", "comp").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("band").agg(F.max_by("comp", F.struct("size", "comp")).alias("largest"), F.sum("size").alias("n"), F.max("size").alias("most"))
+    blocks = lambda n: F.ceil(n / SALT).cast("int")
+    rows = comp.join(largest, "band").withColumns({"m": blocks(F.col("n")), "q": blocks(F.col("n") - F.col("most"))})
+    deal = lambda n: F.pmod(F.xxhash64("cls"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    targets = rows.select("band", "cls", "comp", F.lit(False).alias("asks"), deal(F.col("m")).alias("mb"), each("q").alias("qb"))
+    asking = rows.where(F.col("comp") != F.col("largest")).select("band", "cls", "comp", F.lit(True).alias("asks"), each("m").alias("mb"), deal(F.col("q")).alias("qb"))
+    dealt = targets.unionAll(asking).join(sets, "cls")
+
+    def run(group: pa.Table) -> pa.Table:
+        asks = np.array(group["asks"].to_pylist())
+        cls, comp_, data = group["cls"].to_numpy(), group["comp"].to_numpy(), group["shingles"].to_pylist()
+        there = np.flatnonzero(~asks)
+        values = [np.frombuffer(data[i], np.uint64) for i in there]
+        size = np.array([len(v) for v in values])
+        flat, owner = np.concatenate(values) if values else np.zeros(0, np.uint64), np.repeat(np.arange(len(there)), size)
+        out = []
+        for i in np.flatnonzero(asks) if len(there) else []:
+            mine = np.frombuffer(data[i], np.uint64)
+            hit = mine[np.searchsorted(mine, flat).clip(max=len(mine) - 1)] == flat
+            both = np.bincount(owner[hit], minlength=len(there))
+            linked = np.flatnonzero((100 * both >= percent * (size + len(mine) - both)) & (comp_[there] != comp_[i]))
+            _, first = np.unique(comp_[there[linked]], return_index=True)
+            out += [(int(cls[i]), int(cls[there[j]])) for j in linked[first]]
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+    return dealt.groupBy("band", "mb", "qb").applyInArrow(run, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -182,30 +221,33 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     classes = freeze(known.groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
 
     rows = known.select("cls", F.explode("bands").alias("band"))
-    stars = rows.groupBy("band").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).where(F.col("hub") < F.col("last")).select("band", "hub")
-    members = freeze(rows.join(stars, "band").distinct(), "buckets")  # (band, cls, hub) of buckets with two classes at least
-
-    def candidates(pairs):
-        """pairs (a, b) that sizes and odd sketches do not rule out, with the estimate."""
-        side = lambda c: classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
-        fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-        return both.where(fits).select("a", "b", _estimate("s_a", "s_b").alias("estimate")).where(F.col("estimate") >= ESTIMATE)
-
-    first = candidates(members.where(F.col("cls") != F.col("hub")).select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct())
-    best = freeze(first.groupBy("a").agg(F.max_by("b", F.struct("estimate", "b")).alias("b")), "hubs")
-    edges = freeze(_verify(docs, classes, best, shingle, percent), "edges")
+    hubs = F.array(F.min("cls"), F.max("cls"), F.min_by("cls", F.xxhash64("cls")))
+    stars = rows.groupBy("band").agg(hubs.alias("hubs")).where(F.col("hubs")[0] < F.col("hubs")[1])
+    members = freeze(rows.join(stars, "band").distinct(), "buckets")  # (band, cls, hubs) of buckets with two classes at least
+
+    fits = lambda n_a, n_b: 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
+    side = lambda c: classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    near = members.select(F.col("cls").alias("a"), F.explode("hubs").alias("b")).where(F.col("a") != F.col("b")).distinct()
+    near = near.join(side("a"), "a").join(side("b"), "b").where(fits("n_a", "n_b")).withColumn("estimate", _estimate("s_a", "s_b"))
+    best = freeze(near.where(F.col("estimate") >= ESTIMATE).groupBy("a").agg(F.max_by("b", F.struct("estimate", "b")).alias("b")), "hubs")
+    sets = _sets(docs, classes, best.select(F.col("a").alias("cls")).unionAll(best.select(F.col("b").alias("cls"))), shingle)
+    edges = freeze(_verify(best, sets, percent), "edges")
     labels = components(edges)
 
-    # every pair of different components that shares a bucket and was not looked at
+    # what buckets still hold in different components: small ones pair by pair, large ones block by block
     comp = members.select("band", "cls").join(labels, "cls", "left").select("band", "cls", F.coalesce("comp", "cls").alias("comp"))
-    mixed = comp.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") < F.col("hi")).select("band")
-    comp = freeze(comp.join(mixed, "band", "left_semi"), "mixed_buckets")
-    x, y = comp.select("band", F.col("cls").alias("a"), F.col("comp").alias("comp_a")), comp.select("band", F.col("cls").alias("b"), F.col("comp").alias("comp_b"))
-    cross = x.join(y, "band").where((F.col("comp_a") != F.col("comp_b")) & (F.col("a") > F.col("b"))).select("a", "b").distinct()
-    rest = freeze(candidates(cross).select("a", "b").join(best, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = _verify(docs, classes, rest, shingle, percent)
+    mixed = comp.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where(F.col("lo") < F.col("hi"))
+    comp = freeze(comp.join(mixed.select("band", "size"), "band"), "mixed_buckets")
+    few = comp.where(F.col("size") <= SMALL).select("band", "cls", "comp").join(classes.select("cls", "n", "sketch"), "cls")
+    x, y = (few.select("band", F.col("cls").alias(c), F.col("comp").alias(f"comp_{c}"), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in "ab")
+    differ = (x["band"] == y["band"]) & (F.col("comp_a") != F.col("comp_b")) & (F.col("a") > F.col("b"))
+    cross = x.join(y, differ & fits("n_a", "n_b") & (_estimate("s_a", "s_b") >= ESTIMATE)).select("a", "b").distinct()
+    rest = freeze(cross.join(best, ["a", "b"], "left_anti"), "rest")
+    large = comp.where(F.col("size") > SMALL).select("band", "cls", "comp")
+    wanted = rest.select(F.col("a").alias("cls")).unionAll(rest.select(F.col("b").alias("cls"))).unionAll(large.select("cls"))
+    if not wanted.isEmpty():
+        sets = _sets(docs, classes, wanted, shingle)
+        more = _verify(rest, sets, percent).unionAll(_verify_blocks(large, sets, percent))
         labels = components(freeze(edges.unionAll(more), "edges"))
 
     named = classes.select("cls", "first").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
