@@ -144,7 +144,7 @@ def train(cells: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
     for step in range(1, STEPS + 1):
         r_far, r_near = m["context"][far], m["context"][near]
         hidden = r_far @ m["far"] + r_near @ m["near"]
-        chance = 1 / (1 + np.exp(log_noise - hidden @ m["target"].T - m["bias"]))
+        chance = 1 / (1 + np.exp((log_noise - hidden @ m["target"].T - m["bias"]).clip(-60, 60)))
         g = negative * chance - positive * (1 - chance)
         g_hidden = g @ m["target"]
         grads = {

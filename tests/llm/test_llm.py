@@ -231,12 +231,12 @@ def test_chat_odd(spark):
 
 
 def test_toxicity(spark):
-    table = lambda t: spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet")
+    table = lambda t: spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     model = toxicity.train(table("documents"), table("labels"), fold != 0)
     scored = toxicity.score(table("documents"), model).join(table("labels"), "doc_id").where(fold == 0).collect()
     right = sum((r.score >= 0.5) == (r.toxic == 1) for r in scored) / len(scored)
-    assert right >= 0.9 and all(0 <= r.score <= 1 for r in scored)
+    assert right >= 0.95 and all(0 <= r.score <= 1 for r in scored)
 
 
 def test_toxic_sentences_are_located(spark, odd, empty):
@@ -268,7 +268,7 @@ def test_warc(spark):
     assert warc.audit(left, left).count() == 0
     lost = warc.audit(left, left.where(~F.col("page_id").eqNullSafe(9))).collect()
     assert {(r.page_id, r.found) for r in lost if r.page_id == 9} == {(9, None)}
-    assert left.where("page_id = 3").first().copies == 1 and warc.audit(left.limit(0), right.limit(0)).count() == 0
+    assert left.where("page_id = 3").first().copies == 6 and warc.audit(left.limit(0), right.limit(0)).count() == 0
 
 
 # 9
@@ -297,6 +297,7 @@ def test_bpe_odd(spark, odd, empty, monkeypatch):
     monkeypatch.setattr(bpe, "LONG", 1000)
     vocabulary, pattern = ranks()
     encoded = bpe.encode(odd, vocabulary, pattern, keep=["doc_id", "text"])
+    assert all(bytes(r.decoded) == (r.text or "").encode() for r in bpe.encode(odd, vocabulary, pattern, keep=["doc_id", "text"], decoded=True).collect())
     rows = bpe.decode(encoded, vocabulary, keep=["doc_id", "text"]).collect()
     assert len(rows) == 11 and all(bytes(r.decoded) == (r.text or "").encode() for r in rows)
     assert bpe.encode(empty, vocabulary, pattern).count() == 0
