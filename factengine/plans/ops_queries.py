@@ -266,6 +266,73 @@ def s06(t):
     return n(X.contexts(rows), "contexts").join(n(X.units(rows), "units"), "filing_id").join(facts, "filing_id")
 
 
+def dimension_documents(t):
+    """An instance document for each filing, with its contexts and their members."""
+    member = F.when(C("dimensioned"), F.lit('<scenario><d:explicitMember dimension="c:Axis">c:Gold</d:explicitMember></scenario>')).otherwise("")
+    period = F.when(C("period_type") == "DURATION", F.format_string("<startDate>%s</startDate><endDate>%s</endDate>", C("start_date").cast("string"), C("end_date").cast("string"))).otherwise("<instant>2024-12-31</instant>")
+    owner = F.when(C("scope") == "UNKNOWN", "").otherwise(C("filing_id"))
+    context = F.concat(F.lit('<context id="'), "context_id", F.lit('"><entity><identifier scheme="s">'), owner, F.lit("</identifier></entity><period>"), period, F.lit("</period>"), member, F.lit("</context>"))
+    links = '<l:schemaRef x:href="b.xsd"/><l:schemaRef x:href="a.xsd"/><l:schemaRef x:href="b.xsd"/><l:linkbaseRef x:href="cal.xml" x:role="http://r/cal"/>'
+    head = f'<xbrl xmlns="http://www.xbrl.org/2003/instance" xmlns:d="http://xbrl.org/2006/xbrldi" xmlns:c="http://c" xmlns:l="http://www.xbrl.org/2003/linkbase" xmlns:x="http://www.w3.org/1999/xlink">{links}'
+    rows = t.v_contexts.where((C("period_type") == "INSTANT") | C("end_date").isNotNull())
+    return rows.groupBy("filing_id").agg(F.concat(F.lit(head), F.array_join(F.array_sort(F.collect_list(context)), ""), F.lit("</xbrl>")).alias("document"))
+
+
+USED = "(select * from v_contexts where period_type = 'INSTANT' or end_date is not null)"
+
+
+@query("s06a_contexts", f"select filing_id, context_id as source_context_id, period_type, case when scope = 'UNKNOWN' then 'INVALID' else 'RESOLVED' end as context_status, 'ctx_' || substr(sha256(filing_id || chr(31) || context_id), 1, 24) as context_id from {USED}")
+def s06a(t):
+    return X.contexts(X.extract(dimension_documents(t))).select("filing_id", "source_context_id", "period_type", "context_status", "context_id")
+
+
+@query("s06c_dimensions", f"select filing_id, 'c:Axis' as axis, 'c:Gold' as member, 'ctx_' || substr(sha256(filing_id || chr(31) || context_id), 1, 24) as context_id from {USED} where dimensioned")
+def s06c(t):
+    return X.dimensions(X.extract(dimension_documents(t))).select("filing_id", "axis", "member", "context_id")
+
+
+@query("s06e_taxonomy", f"select distinct filing_id, 'a.xsd,b.xsd' as imports, 'cal.xml' as linkbase_references, 'http://r/cal' as linkbase_roles from {USED}")
+def s06e(t):
+    rows = X.taxonomy(X.extract(dimension_documents(t)))
+    return rows.select("filing_id", *[F.array_join(c, ",").alias(c) for c in ("imports", "linkbase_references", "linkbase_roles")])
+
+
+def as_csv(df, name):
+    from ..sources.sinks import scratch
+
+    path = scratch(df.sparkSession, name)
+    df.write.option("header", True).option("escape", '"').csv(path)
+    return path
+
+
+@query("s01_reference_csv", "select c_name as source_concept, c_mktsegment as concept_namespace, 'a;b, c' as entry_point, 'x' || c_custkey as canonical_concept, 'PROPOSED' as status from customer")
+def s01(t):
+    c = t.customer.select(C("c_name").alias("source_concept"), C("c_mktsegment").alias("concept_namespace"), F.lit("a;b, c").alias("entry_point"), F.concat(F.lit("x"), "c_custkey").alias("canonical_concept"), F.lit("PROPOSED").alias("status"), F.lit('say "why"').alias("rationale"), F.lit("me").alias("reviewer"))
+    return FS.read_csv(t.spark, as_csv(c, "mapping_csv"), FS.MAPPING).select("source_concept", "concept_namespace", "entry_point", "canonical_concept", "status")
+
+
+@query("s02_ragged_rows", "select p_partkey || ',' || p_brand as row from part where p_partkey % 10 = 0")
+def s02(t):
+    from ..sources.sinks import scratch
+
+    path = scratch(t.spark, "ragged_csv")
+    seven = F.concat_ws(",", "p_partkey", "p_brand", *[F.lit("x")] * 5)
+    t.part.select(F.when(C("p_partkey") % 10 == 0, F.concat_ws(",", "p_partkey", "p_brand")).otherwise(seven).alias("value")).write.text(path)
+    return FS.read_csv_report(t.spark, path, FS.MAPPING)[1].select(C(FS.CORRUPT).alias("row"))
+
+
+@query("s03_case_csv", "select 'T' || o_orderkey as test_case_id, 'ACC-001' as rule_code, o_orderkey as total_assets from orders")
+def s03(t):
+    rows = t.orders.select(F.concat(F.lit("T"), "o_orderkey").alias("test_case_id"), F.lit("ACC-001").alias("rule_code"), *[F.lit("x").alias(c) for c in FS.CASES[2:6]], F.to_json(F.struct(C("o_orderkey").alias("total_assets"), F.lit("a, b").alias("entry_point"))).alias("input_mock_json"), *[F.lit("y").alias(c) for c in FS.CASES[7:]])
+    return FS.read_cases(t.spark, as_csv(rows, "case_csv"), "total_assets bigint, entry_point string").select("test_case_id", "rule_code", C("input.total_assets").alias("total_assets"))
+
+
+@query("s11_import_mappings", "select c_name as source_concept, unnest(['a', 'b']) as entry_point, case when c_custkey % 2 = 0 then 'APPROVED' else 'DRAFT' end as status, cast(4 as bigint) as rule_version from customer")
+def s11(t):
+    c = t.customer.select(C("c_name").alias("source_concept"), F.lit("n").alias("concept_namespace"), F.lit("a; ;b").alias("entry_point"), F.lit("x").alias("canonical_concept"), F.when(C("c_custkey") % 2 == 0, "CONFIRMED").otherwise("PROPOSED").alias("status"), F.lit("w").alias("rationale"), F.lit("me").alias("reviewer"))
+    return FS.import_mappings(c, "v4").select("source_concept", "entry_point", "status", "rule_version")
+
+
 @query("s08_stored_facts", "select raw_fact_id, 'fact_' || substr(sha256(concat_ws('|', r.filing_id, f.source_hash, '1.0', 'cfg', raw_fact_id)), 1, 24) as stored_id, 'ctx_' || substr(sha256(concat_ws('|', r.filing_id, f.source_hash, '1.0', 'cfg', context_id)), 1, 24) as stored_context from v_raw_facts r join v_filings f on f.filing_id = r.filing_id")
 def s08(t):
     rows = t.v_raw_facts.join(t.v_filings.select("filing_id", "source_hash"), "filing_id")

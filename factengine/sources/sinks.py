@@ -1,8 +1,16 @@
 """Idempotent writes to plain parquet: anti-join, then append. One writer per table and batch."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share: spark.checkpoint.dir, or the warehouse where that is unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
 def new_rows(rows: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key is not stored yet, one per key."""
     return rows.dropDuplicates(keys).join(stored.select(*keys).distinct(), keys, "left_anti")

@@ -30,6 +30,23 @@ def test_xbrl(spark):
     assert [(r.n, r.suppressed) for r in X.warnings(X.facts(rows)).collect()] == [(1, 0)]
 
 
+def test_archives(spark, tmp_path):
+    import zipfile
+
+    for issuer, period, namespace in (("AAA", "2024Q1", "http://x/financesharia"), ("BBB", "2024Q2", None)):
+        folder = tmp_path / issuer / period
+        folder.mkdir(parents=True)
+        with zipfile.ZipFile(folder / "instance.zip", "w") as z:
+            z.writestr("a.xbrl", DOC)
+            if namespace:
+                z.writestr("Taxonomy.xsd", f'<schema targetNamespace="{namespace}"/>')
+    (tmp_path / "CCC" / "2024Q1").mkdir(parents=True)
+    (tmp_path / "CCC" / "2024Q1" / "instance.zip").write_bytes(b"no zip")
+    got = {r.filing_id: r for r in X.read_archives(spark, str(tmp_path)).collect()}
+    assert (got["AAA-2024Q1"].entry_point, got["BBB-2024Q2"].entry_point) == ("financesharia", "general")
+    assert got["CCC-2024Q1"].error and got["BBB-2024Q2"].document == DOC
+
+
 def test_csv(spark, tmp_path):
     good = tmp_path / "good.csv"
     good.write_text(",".join(FS.MAPPING) + "\nAssets,http://n,a;b,total_assets,CONFIRMED,why,me\n,,,,,,\n")
