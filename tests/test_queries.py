@@ -1,6 +1,7 @@
 """Every query with checking SQL against DuckDB on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 from conftest import SMALL
 
@@ -19,7 +20,7 @@ def duck():
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    text = lambda v: "null" if v is None or v != v else str(v)
+    text = lambda v: "null" if pd.isna(v) else str(v)
     return sorted(tuple(map(text, r)) for r in frame.itertuples(index=False))
 
 
