@@ -51,10 +51,9 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     marked = docs.withColumn("text_sha", F.sha2(utf8(), 256))
     keep = ["doc_id", "lang", "source", "text_sha"]
-    encoded = bpe.encode(marked, ranks, public_tokenizers.PATTERN, keep).withColumn("kept_ids", F.col("ids"))
-    decoded = bpe.decode(encoded, ranks, [*keep, "kept_ids"])
+    encoded = bpe.encode(marked, ranks, public_tokenizers.PATTERN, keep, decoded=True)
     same = F.sha2("decoded", 256) == F.col("text_sha")
-    return decoded.select("doc_id", "lang", "source", F.size("kept_ids").cast("bigint").alias("n_tokens"), F.col("kept_ids").alias("ids"), same.alias("round_trip"))
+    return encoded.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", same.alias("round_trip"))
 
 
 STAGES = [

@@ -35,8 +35,24 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return ranks
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[str] = ("doc_id",)) -> DataFrame:
-    """keep + ids array<int>: each match of ``pattern`` encoded separately, without special tokens."""
+def token_bytes(ranks: dict[bytes, int]) -> pa.Array:
+    """The token-byte table: bytes at each id."""
+    table = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        table[rank] = token
+    return pa.array(table, pa.large_binary())
+
+
+def _joined(tokens: pa.Array, ids: pa.Array) -> tuple[bytes, np.ndarray]:
+    """All ids joined to their bytes, one after the other, and where each one's bytes begin and the last one's end."""
+    if not len(ids):
+        return b"", np.zeros(1, np.int64)
+    found = pc.take(tokens, ids)
+    return found.buffers()[2].to_pybytes(), np.frombuffer(found.buffers()[1], np.int64)[: len(found) + 1]
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[str] = ("doc_id",), decoded: bool = False) -> DataFrame:
+    """keep + ids array<int>: each match of ``pattern`` encoded separately, without special tokens; with ``decoded``, the ids' bytes beside them, as decode() gives them."""
     keep = list(keep)
     sent = docs.sparkSession.sparkContext.broadcast(ranks)
 
@@ -71,6 +87,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[st
         return f
 
     def joiner():
+        tokens = token_bytes(sent.value) if decoded else None
+
+        def row(d, ids):
+            head = *(d[c] for c in keep), ids
+            return (*head, _joined(tokens, pa.array(ids))[0]) if decoded else head
+
         def f(docs, words, answers):
             lengths, ids, slots = [], [], []
             for w in words:
@@ -88,37 +110,32 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[st
             for d in docs:
                 seq = unpack_ints(d["seq"])
                 if not len(seq):
-                    yield *(d[c] for c in keep), np.zeros(0, np.int32)
+                    yield row(d, np.zeros(0, np.int32))
                     continue
                 n = size[seq]
                 at = np.repeat(start[seq] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                yield *(d[c] for c in keep), ids[at]
+                yield row(d, ids[at])
 
         return f
 
     chunks = word_chunks(docs, keep, split, name="bpe")
-    return reassemble(chunks, answer(chunks, encoder), [*keep, "seq", "bucket", "slots"], joiner, fields(docs, keep) + "ids array<int>")
+    return reassemble(chunks, answer(chunks, encoder), [*keep, "seq", "bucket", "slots"], joiner, fields(docs, keep) + "ids array<int>" + ", decoded binary" * decoded)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], keep: list[str] = ("doc_id", "ids")) -> DataFrame:
     """keep + decoded binary: ids joined to the token-byte table in id order, bytes concatenated by position. An id outside the table fails the job."""
     keep = list(keep)
     bounded_batches(encoded.sparkSession)
-    table = [b""] * (max(ranks.values(), default=-1) + 1)
-    for token, rank in ranks.items():
-        table[rank] = token
-    sent = encoded.sparkSession.sparkContext.broadcast(table)
+    sent = encoded.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches):
-        tokens = pa.array(sent.value, pa.large_binary())
+        tokens = token_bytes(sent.value)
         for batch in batches:
             ids = batch.column(batch.num_columns - 1)
-            bytes_ = pc.take(tokens, ids.flatten())
-            ends = np.frombuffer(bytes_.buffers()[1], np.int64)[bytes_.offset :][: len(bytes_) + 1] if len(bytes_) else np.zeros(1, np.int64)
+            blob, ends = _joined(tokens, ids.flatten())
             lengths = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             at = ends[np.concatenate([[0], np.cumsum(lengths)])]
-            blob = bytes_.buffers()[2].to_pybytes() if len(bytes_) else b""
-            decoded = pa.array([blob[a:b] for a, b in zip(at[:-1], at[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], decoded], [*keep, "decoded"])
+            texts = pa.array([blob[a:b] for a, b in zip(at[:-1], at[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], [*keep, "decoded"])
 
     return encoded.select(*keep, F.col("ids").alias("_ids")).mapInArrow(run, fields(encoded, keep) + "decoded binary")

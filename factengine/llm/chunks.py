@@ -25,7 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import bounded_batches, fields, shared_dir, utf8
 
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 16 << 20
 DOC, WORDS = 0, 1
 
 
@@ -113,7 +113,7 @@ def word_chunks(docs: DataFrame, keep: list[str], split, learn: Column | None =
             yield from flush(n, slots, rows, seqs)
 
     flag = F.lit(False) if learn is None else F.coalesce(learn, F.lit(False))
-    out = docs.select(*keep, flag.alias("learn"), utf8().alias("text")).mapInArrow(run, schema)
+    out = docs.select(*keep, flag.alias("learn"), utf8().alias("__text")).mapInArrow(run, schema)
     at = f"{name}_{uuid.uuid4().hex}"
     out.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{at}").bucketBy(parts, "chunk").saveAsTable(at)
     return spark.table(at)
