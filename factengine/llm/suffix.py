@@ -7,7 +7,8 @@
 3. Around each shared anchor, the stretch of text that its windows can span is a
    context. Hashes of contexts are dealt by anchor into buckets, which answer with
    the smallest id that has a context: its other owners lose all of its windows.
-   The texts of contexts whose anchor has others too follow into the same bucket,
+   The texts of contexts whose anchor has others that go on alike on one side
+   (as contexts with a common window do) follow into the same bucket,
    so all equal windows meet in one bucket, and are cut there into shards of
    SHARD_BYTES. Each shard gets a suffix array by Larsson-Sadakane
    refinement and common prefixes by Kasai's method; suffixes with a common prefix
@@ -37,6 +38,7 @@ from .chunks import pack_ints, unpack_ints
 from .common import bounded_batches, fields, freeze, shared_dir, utf8
 
 WINDOW, GRAM = 50, 16
+HALF = (WINDOW - GRAM) // 2  # a window has so many bytes more than its anchor on one side at least
 SPAN = WINDOW - GRAM  # a context has SPAN bytes on both sides of its anchor
 CONTEXT = 2 * SPAN + GRAM
 CHUNK_BYTES, SHARD_BYTES, STEP = 8 << 20, 1 << 20, 1 << 20
@@ -92,13 +94,16 @@ def anchors(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(suffixes in order, rank of each position), by Larsson-Sadakane refinement: only groups that are not yet single are sorted again, by the rank at twice the depth."""
+    """(suffixes in order, rank of each position) by Larsson-Sadakane refinement: only groups that are not yet single are sorted again, by the rank at twice the depth.
+
+    Refinement stops at a depth of WINDOW or more; suffixes that agree so far keep one rank.
+    """
     n = len(text)
     padded = np.concatenate([text.astype(np.uint64) + np.uint64(1), np.zeros(7, np.uint64)])
     key = np.zeros(n, np.uint64)
     for k in range(7):  # seven bytes of nine bits
         key = (key << np.uint64(9)) | padded[k : k + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     ordered = key[order]
     fresh = np.concatenate([[True], ordered[1:] != ordered[:-1]])
     start = np.flatnonzero(fresh)
@@ -106,106 +111,108 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rank[order] = start[np.cumsum(fresh) - 1]  # a group's rank is its first place
     depth = 7
     size = np.diff(np.append(start, n))
-    open_ = np.repeat(size > 1, size)
-    while open_.any():
-        places = np.flatnonzero(open_)
+    places = np.flatnonzero(np.repeat(size > 1, size))
+    while len(places) and depth < WINDOW:
         suffix = order[places]
         next_ = suffix + depth
-        second = np.where(next_ < n, rank[np.minimum(next_, n - 1)] + 1, 0)
-        first = rank[suffix]
-        by = np.lexsort((second, first))
-        suffix, first, second = suffix[by], first[by], second[by]
+        pair = rank[suffix] * (n + 1) + np.where(next_ < n, rank[np.minimum(next_, n - 1)] + 1, 0)
+        by = np.argsort(pair)
+        suffix, pair = suffix[by], pair[by]
         order[places] = suffix
-        new = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
-        begin = np.flatnonzero(new)
-        rank[suffix] = places[begin][np.cumsum(new) - 1]
+        begin = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
         size = np.diff(np.append(begin, len(places)))
-        open_[places] = np.repeat(size > 1, size)
+        rank[suffix] = np.repeat(places[begin], size)
+        places = places[np.repeat(size > 1, size)]
         depth *= 2
     return order, rank
 
 
 def kasai(text: np.ndarray, order: np.ndarray, rank: np.ndarray, stretch: int) -> np.ndarray:
-    """Common prefix of each suffix with the one before it in order, by Kasai's method on stretches of ``stretch`` positions side by side.
+    """Common prefix of each suffix with the one before it in order, by Kasai's method on stretches of ``stretch`` positions side by side; values stop at WINDOW.
 
     Within a stretch a position's value is at least that of the position before,
-    less one, so characters are compared on from there. Values stop at WINDOW.
+    less one, so characters are compared on from there. Suffixes of one rank share
+    WINDOW bytes without a comparison; as their own order is open, the suffix after
+    one of them may be the first of its rank with a smaller value, and starts anew.
     """
     n = len(text)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
-    out = np.zeros(n, np.int64)
+    tied = np.zeros(n, bool)
+    tied[order[1:]] = rank[order[1:]] == rank[order[:-1]]
+    out = np.zeros(n, np.int8)
     heads = np.arange(0, n, stretch)
     have = np.zeros(len(heads), np.int64)
+    was = np.zeros(len(heads), bool)
     padded = np.concatenate([text.astype(np.int16), np.full(WINDOW + 1, -1, np.int16)])
     for step in range(stretch):
         i = heads + step
         i = i[i < n]
-        have = np.maximum(have[: len(i)] - 1, 0)
-        j = before[i]
-        have[j < 0] = 0
-        go = np.flatnonzero((j >= 0) & (have < WINDOW))
+        have, was = have[: len(i)], was[: len(i)]
+        same, j = tied[i], before[i]
+        have = np.where(same, WINDOW, np.where(was | (j < 0), 0, np.maximum(have - 1, 0)))
+        go = np.flatnonzero(~same & (j >= 0))
         while len(go):
             a, b = padded[i[go] + have[go]], padded[j[go] + have[go]]
             go = go[(a == b) & (a >= 0)]
             have[go] += 1
             go = go[have[go] < WINDOW]
+        was = same
         out[i] = have
     return out
 
 
 def shard_windows(contexts: list[bytes], ids: np.ndarray):
-    """Sorted distinct windows of a shard of contexts: (windows, smallest id of each, window number of each (context, offset) or -1)."""
+    """Sorted distinct windows of a shard of contexts: (text, place of each window in it, smallest id of each, window number of each (context, offset) or -1)."""
     length = np.array([len(c) for c in contexts])
     start = np.cumsum(length) - length
     text = np.frombuffer(b"".join(contexts), np.uint8)
     order, rank = suffix_array(text)
     common = kasai(text, order, rank, CONTEXT)
     owner = np.repeat(np.arange(len(contexts)), length)
-    offset = np.arange(len(text)) - start[owner]
-    whole = (length[owner] - offset >= WINDOW)[order]
+    left = np.repeat(start + length, length) - np.arange(len(text))
     # a window begins where the common prefix with the suffix before is short
-    group = np.cumsum(common[order] < WINDOW) - 1
-    number = np.full(group[-1] + 1, -1, np.int64)
-    used = np.unique(group[whole])
-    number[used] = np.arange(len(used))
-    of = np.full((len(contexts), CONTEXT - WINDOW + 1), -1, np.int64)
-    places = order[whole]
-    windows = number[group[whole]]
-    of[owner[places], offset[places]] = windows
-    least = np.full(len(used), NO_ID, np.int64)
-    np.minimum.at(least, windows, ids[owner[places]])
-    first = np.zeros(len(used), np.int64)
-    first[windows[::-1]] = places[::-1]
-    view = np.lib.stride_tricks.sliding_window_view(text, WINDOW)[first] if len(used) else np.zeros((0, WINDOW), np.uint8)
-    return np.ascontiguousarray(view).view(f"V{WINDOW}").ravel(), least, of
-
-
-def _keys(windows: np.ndarray) -> np.ndarray:
-    """Windows in a form that numpy orders byte by byte: four-part big-endian numbers behind each other."""
-    raw = windows.view(np.uint8).reshape(len(windows), WINDOW)
-    wide = np.zeros((len(windows), 56), np.uint8)
-    wide[:, :WINDOW] = raw
+    group = np.cumsum(common[order] < WINDOW)
+    whole = left[order] >= WINDOW
+    places, group = order[whole], group[whole]
+    of = np.full((len(contexts), CONTEXT - WINDOW + 1), -1, np.int32)
+    if not len(places):
+        return text, places, np.zeros(0, np.int64), of
+    begin = np.concatenate([[True], group[1:] != group[:-1]])
+    owners = owner[places]
+    of[owners, places - start[owners]] = np.cumsum(begin) - 1
+    begin = np.flatnonzero(begin)
+    return text, places[begin], np.minimum.reduceat(ids[owners], begin), of
+
+
+def _keys(text: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Windows as seven big-endian numbers each, which order as their bytes do."""
+    wide = np.zeros((len(places), 56), np.uint8)
+    wide[:, :WINDOW] = np.lib.stride_tricks.sliding_window_view(text, WINDOW)[places]
     return wide.view(">u8").astype(np.uint64)
 
 
-def search(sorted_: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Binary search of windows in a shard's sorted windows: place, or -1 where it has none."""
-    a, b = _keys(sorted_), _keys(wanted)
-    lo, hi = np.zeros(len(b), np.int64), np.full(len(b), len(a), np.int64)
-    while (open_ := lo < hi).any():
-        mid = (lo + hi) // 2
-        probe = a[np.minimum(mid, max(len(a) - 1, 0))]
-        differ = probe != b
-        at = differ.argmax(axis=1)
-        rows = np.arange(len(b))
-        less = differ.any(axis=1) & (probe[rows, at] < b[rows, at])
-        lo = np.where(open_ & less, mid + 1, lo)
-        hi = np.where(open_ & ~less, mid, hi)
+def search(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Binary search of the windows b in a shard's sorted windows a (from _keys): place, or -1 where it has none."""
     if not len(a):
         return np.full(len(b), -1, np.int64)
-    place = np.minimum(lo, len(a) - 1)
-    return np.where((a[place] == b).all(axis=1) & (lo < len(a)), place, -1)
+    lo, hi = np.searchsorted(a[:, 0], b[:, 0]), np.searchsorted(a[:, 0], b[:, 0], side="right")
+    open_ = np.flatnonzero(lo < hi)
+    place = np.full(len(b), -1, np.int64)
+    while len(open_):
+        mid = (lo[open_] + hi[open_]) // 2
+        probe, want = a[mid], b[open_]
+        differ = probe != want
+        found = ~differ.any(axis=1)
+        place[open_[found]] = mid[found]
+        at = differ.argmax(axis=1)
+        rows = np.arange(len(open_))
+        less = probe[rows, at] < want[rows, at]
+        lo[open_[less]] = mid[less] + 1
+        hi[open_[~less]] = mid[~less]
+        open_ = open_[~found]
+        open_ = open_[lo[open_] < hi[open_]]
+    return place
 
 
 def earlier_windows(contexts: list[bytes], ids: np.ndarray) -> np.ndarray:
@@ -218,15 +225,18 @@ def earlier_windows(contexts: list[bytes], ids: np.ndarray) -> np.ndarray:
             end += 1
         shards.append((at, end, *shard_windows(contexts[at:end], ids[at:end])))
         at = end
-    for i, (_, _, windows, least, _) in enumerate(shards):
-        for _, _, others, smallest, _ in shards[i + 1 :]:
-            place = search(windows, others)
+    keys = [_keys(text, places) for _, _, text, places, _, _ in shards] if len(shards) > 1 else []
+    for i in range(len(keys)):
+        least = shards[i][4]
+        for j in range(i + 1, len(keys)):
+            smallest = shards[j][4]
+            place = search(keys[i], keys[j])
             hit = place >= 0
             both = np.minimum(least[place[hit]], smallest[hit])
             least[place[hit]] = both
             smallest[hit] = both
     mask = np.zeros(len(contexts), np.int64)
-    for at, end, _, least, of in shards:
+    for at, end, _, _, least, of in shards:
         known = of >= 0
         earlier = known & (least[np.where(known, of, 0)] < ids[at:end, None]) if len(least) else known
         mask[at:end] = (earlier << np.arange(earlier.shape[1])).sum(axis=1)
@@ -330,6 +340,15 @@ class Chunk:
         self.key = np.fromiter(map(xxhash.xxh3_64_intdigest, contexts), np.uint64, len(self.at))
         self.id = self.ids[self.doc]
 
+    def sides(self, x: np.ndarray) -> list[np.ndarray]:
+        """Hashes of the occurrences' anchors with HALF more bytes to the left and to the right; 0 where a document ends before. Every window of an anchor holds one of the two."""
+        out = []
+        for a, b in ((self.at[x] - HALF, self.at[x] + GRAM), (self.at[x], self.at[x] + GRAM + HALF)):
+            there = (a >= self.lo[x]) & (b <= self.hi[x])
+            parts = (self.data[i:j] if ok else b"" for i, j, ok in zip(a.tolist(), b.tolist(), there.tolist()))
+            out.append(np.where(there, np.fromiter(map(xxhash.xxh32_intdigest, parts), np.uint32, len(x)).clip(min=1), np.uint32(0)))
+        return out
+
     def entries(self, buckets: int):
         """(order of occurrences, entry of each in that order, first occurrence of each entry): entries are the chunk's distinct (anchor, context), by bucket."""
         bucket = self.anchor % np.uint64(buckets)
@@ -380,7 +399,7 @@ def _shared_anchors(chunks: DataFrame, copies: DataFrame, buckets: int) -> DataF
 
 
 def _first_ids(chunks: DataFrame, mail: DataFrame, buckets: int) -> DataFrame:
-    """MAIL of kind first: for each of a chunk's entries the smallest id that has this context, and whether the chunk is to send its text, because the anchor has other contexts too."""
+    """MAIL of kind first: for each of a chunk's entries the smallest id that has this context, and whether the chunk is to send its text, because the anchor has other contexts that agree with it on one side."""
 
     def send(left, mail):
         c = Chunk(left, mail)
@@ -388,7 +407,8 @@ def _first_ids(chunks: DataFrame, mail: DataFrame, buckets: int) -> DataFrame:
         _, _, head, bucket = c.entries(buckets)
         for at in np.split(np.arange(len(head)), np.flatnonzero(np.diff(bucket)) + 1) if len(head) else []:
             x = head[at]
-            yield c.chunk, int(bucket[at[0]]), _pack_sorted(c.anchor[x]), c.key[x].tobytes(), _longs(c.id[x])
+            left_, right_ = c.sides(x)
+            yield c.chunk, int(bucket[at[0]]), _pack_sorted(c.anchor[x]), c.key[x].tobytes(), _longs(c.id[x]), left_.tobytes(), right_.tobytes()
 
     table = _rows(MAIL)
 
@@ -404,15 +424,20 @@ def _first_ids(chunks: DataFrame, mail: DataFrame, buckets: int) -> DataFrame:
         new = other | np.concatenate([[True], k[1:] != k[:-1]])
         first = np.empty(len(by), np.int64)
         first[by] = ids[by][np.flatnonzero(new)][np.cumsum(new) - 1]
-        group_ = np.cumsum(other) - 1
-        several = np.empty(len(by), bool)
-        several[by] = (np.bincount(group_, new) > 1)[group_]
+        several = np.zeros(len(by), bool)
+        for name in ("lefts", "rights"):  # other contexts of the anchor that go on alike on one side
+            side = np.frombuffer(b"".join(group[name].to_pylist()), np.uint32)
+            by = np.lexsort((key, side, anchor))
+            same = np.concatenate([[True], (anchor[by][1:] != anchor[by][:-1]) | (side[by][1:] != side[by][:-1])])
+            new = same | np.concatenate([[True], key[by][1:] != key[by][:-1]])
+            at = np.cumsum(same) - 1
+            several[by] |= (np.bincount(at, new) > 1)[at] & (side[by] > 0)
         want = (several & (ids == first)).astype(np.uint8)
         cuts = np.cumsum([len(p) for p in parts])[:-1]
         pairs = zip(group["chunk"].to_pylist(), np.split(first, cuts), np.split(want, cuts))
         return table([(c, "first", bucket, _longs(f), pack_ints(w)) for c, f, w in pairs])
 
-    seen = _cogroup(chunks, mail, ["id"], send, "chunk bigint, bucket int, anchors binary, keys binary, ids binary")
+    seen = _cogroup(chunks, mail, ["id"], send, "chunk bigint, bucket int, anchors binary, keys binary, ids binary, lefts binary, rights binary")
     return seen.groupBy("bucket").applyInArrow(settle, MAIL)
 
 
@@ -485,7 +510,7 @@ def _covered(c: Chunk, mail, buckets: int) -> np.ndarray:
 def dedup_substrings(docs: DataFrame, keep: list[str] = ("doc_id",)) -> DataFrame:
     """keep + (n_bytes, n_removed, n_spans, kept binary): texts without the bytes of passages that a smaller id has too."""
     keep = list(keep)
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = _text_chunks(docs, keep)
 
     # exact copies: only a text's smallest id takes part; the others lose everything
