@@ -153,6 +153,25 @@ def test_lm_is_normalised():
     assert np.allclose((10.0**table).sum(axis=1), 1, atol=1e-4)
 
 
+def test_lm_classes_grow_with_the_vocabulary(spark):
+    assert lm.class_sizes(1000) < lm.class_sizes(1_000_000) < lm.class_sizes(100_000_000)
+    rng = np.random.default_rng(1)
+    # each of 40 first words is followed by its own second one; they end alike, and not all are among the 62 most frequent
+    texts = [" ".join(f"w{i:02}aaa v{i:02}aaa" for i in rng.permutation(40)) for _ in range(500)]
+    rest = " ".join(f"r{i}" for i in range(120_000))
+    frame = spark.createDataFrame([*enumerate(texts), (-1, rest), (-2, "w39aaa v39aaa"), (-3, "w39aaa v03aaa")], "doc_id bigint, text string")
+    got = by_id(lm.score(frame, F.col("doc_id") >= -1))
+    fair = got[-2].base_score - got[-3].base_score
+    assert got[-2].score - got[-3].score - fair > 0.5
+
+
+def test_lm_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 500)
+    frame = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 97}" for j in range(60))) for i in range(60)], "doc_id bigint, text string")
+    one, other = (by_id(lm.score(frame.repartition(k), F.lit(True))) for k in (1, 5))
+    assert all(one[i].score == pytest.approx(other[i].score, rel=1e-5) for i in one)
+
+
 def test_lm_odd(odd, empty):
     learn = F.lit(True)
     rows = [(r.n_tokens, r.score) for r in lm.score(odd, learn).collect()]
