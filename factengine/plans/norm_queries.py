@@ -155,8 +155,10 @@ def j17(t):
 REQUESTED = "select mapping_rule_id, filing_id from v_filings, v_current where o_orderkey % 50 = 1"
 
 
-def requested(t):
-    asked = t.v_filings.where(C("o_orderkey") % 50 == 1).select(F.explode(F.array(*[F.lit(f"M0{i}") for i in (2, 3, 5, 6, 7, 8)])).alias("mapping_rule_id"), "filing_id")
+def requested(t, filings=None):
+    """Every mapping asked for each filing; without ``filings``, for those of REQUESTED."""
+    filings = t.v_filings.where(C("o_orderkey") % 50 == 1) if filings is None else filings
+    asked = filings.select(F.explode(F.array(*[F.lit(f"M0{i}") for i in (2, 3, 5, 6, 7, 8)])).alias("mapping_rule_id"), "filing_id")
     return asked.join(t.v_current.select("mapping_rule_id"), "mapping_rule_id", "left_semi")
 
 
@@ -165,6 +167,11 @@ def j18(t):
     return requested(t).join(t.v_impact, ["mapping_rule_id", "filing_id"], "left_anti")
 
 
+@query("j25_all_outside_impact", "select m.mapping_rule_id, f.filing_id from v_filings f cross join v_current m left join v_impact i on i.mapping_rule_id = m.mapping_rule_id and i.filing_id = f.filing_id where i.filing_id is null")
+def j25(t):
+    return requested(t, t.v_filings).join(t.v_impact, ["mapping_rule_id", "filing_id"], "left_anti")
+
+
 @query("j19_evidence_ownership", """
     select a.filing_id, e, case when n.normalized_fact_id is null then 'EVIDENCE_NOT_FOUND' when n.canonical_concept <> 'revenue' then 'EVIDENCE_NOT_OWNED' end as problem
     from (select filing_id, unnest([filing_id || '-10', filing_id || '-11', filing_id || '-99']) as e from v_filings) a left join v_norm n on n.normalized_fact_id = e
@@ -179,9 +186,21 @@ def j19(t):
 
 @query("j20_foreign_evidence", "select r.filing_id, fact_id from (select filing_id, unnest(string_split(evidence, ',')) as fact_id from v_results where evidence <> '' and rule_code = 'ACC-001') r where fact_id not in (select normalized_fact_id from v_norm where filing_id = r.filing_id and not dimensioned)")
 def j20(t):
-    used = t.v_results.where(C("rule_code") == "ACC-001").select("filing_id", F.explode("evidence").alias("fact_id"))
+    return foreign_evidence(t, t.v_results.where(C("rule_code") == "ACC-001")).select("filing_id", "fact_id")
+
+
+def foreign_evidence(t, results):
+    used = results.select("filing_id", "rule_code", F.explode("evidence").alias("fact_id"))
     own = t.v_norm.where(~C("dimensioned")).select("filing_id", C("normalized_fact_id").alias("fact_id"))
-    return used.join(own, ["filing_id", "fact_id"], "left_anti")
+    return used.join(own, ["filing_id", "fact_id"], "left_anti").select("filing_id", "rule_code", "fact_id")
+
+
+@query("j26_all_foreign_evidence", """
+    select r.filing_id, r.rule_code, r.fact_id from (select filing_id, rule_code, unnest(string_split(evidence, ',')) as fact_id from v_results where evidence <> '') r
+    left join v_norm n on n.filing_id = r.filing_id and n.normalized_fact_id = r.fact_id and not n.dimensioned where n.normalized_fact_id is null
+""")
+def j26(t):
+    return foreign_evidence(t, t.v_results)
 
 
 @query("j21_test_pack", """

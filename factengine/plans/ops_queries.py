@@ -471,11 +471,24 @@ def c14(t):
     from r join v_current m on m.mapping_rule_id = r.mapping_rule_id left join v_impact i on i.mapping_rule_id = r.mapping_rule_id and i.filing_id = r.filing_id
 """)
 def c15(t):
-    asked = requested(t).join(t.v_filings.select("filing_id", "o_orderkey"), "filing_id").join(t.v_current.select("mapping_rule_id", C("rule_version").alias("v")), "mapping_rule_id")
+    return reprocess(t, requested(t))
+
+
+def reprocess(t, asked):
+    asked = asked.join(t.v_filings.select("filing_id", "o_orderkey"), "filing_id").join(t.v_current.select("mapping_rule_id", C("rule_version").alias("v")), "mapping_rule_id")
     asked = asked.select("mapping_rule_id", "filing_id", F.when(C("o_orderkey") % 4 == 1, 99).otherwise(C("v")).alias("expected_version"))
     return RV.reprocess(asked, t.v_current, t.v_impact, t.v_raw_facts, t.v_job_runs.where(C("status") == "RUNNING"))
 
 
+@query("c25_whole_reprocess_set", """
+    with r as (select mapping_rule_id, filing_id, case when o_orderkey % 4 = 1 then 99 else rule_version end as expected from v_filings, v_current)
+    select r.mapping_rule_id, r.filing_id, case when m.rule_version <> r.expected then 'MAPPING_SET_VERSION_STALE' when m.status <> 'APPROVED' then 'MAPPING_NOT_APPROVED' when i.filing_id is null then 'FILING_OUTSIDE_IMPACT' when r.filing_id in (select filing_id from v_job_runs where status = 'RUNNING') then 'ACTIVE_OPERATION' end as code
+    from r join v_current m on m.mapping_rule_id = r.mapping_rule_id left join v_impact i on i.mapping_rule_id = r.mapping_rule_id and i.filing_id = r.filing_id
+""")
+def c25(t):
+    return reprocess(t, requested(t, t.v_filings))
+
+
 @query("c16_prerequisites", """
     select f.filing_id, s.stage, case s.stage when 'PARSE' then case when f.storage_path is null or f.filing_id not in (select filing_id from v_artifacts) then 'ARTIFACT' end when 'NORMALIZE' then case when f.filing_id not in (select filing_id from v_raw_facts) then 'RAW_FACTS' end
         when 'VALIDATE' then case when f.filing_id not in (select filing_id from v_norm) then 'NORMALIZED_FACTS' end when 'PUBLISH' then case when f.quality_status <> 'VERIFIED' then 'VERIFIED_RESULT' end end as missing

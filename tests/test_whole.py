@@ -12,3 +12,23 @@ def test_batch_audit_counts_all_rules(spark, sf_dir):
     assert five.keys() == whole.keys() and all(r.rules == 15 for r in whole.values())
     assert all(whole[i].errors >= r.errors and whole[i].warnings >= r.warnings for i, r in five.items())
     assert any(whole[i].errors > r.errors for i, r in five.items())
+
+
+def test_requests_take_every_filing(spark, sf_dir):
+    filings = spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    whole = run(spark, sf_dir, "c25_whole_reprocess_set").cache()
+    assert whole.select("filing_id").distinct().count() == filings
+    outside = run(spark, sf_dir, "j25_all_outside_impact")
+    assert outside.count() > run(spark, sf_dir, "j18_outside_impact").count()
+    assert outside.join(whole.select("mapping_rule_id", "filing_id"), ["mapping_rule_id", "filing_id"], "left_anti").count() == 0
+
+
+def test_foreign_evidence_of_every_rule(spark):
+    from factengine.plans.norm_queries import foreign_evidence
+
+    class Given:
+        v_norm = spark.createDataFrame([("F1", "F1-1", False), ("F1", "F1-2", True)], "filing_id string, normalized_fact_id string, dimensioned boolean")
+
+    results = spark.createDataFrame([("F1", "ACC-001", ["F1-1", "F9-1"]), ("F1", "HRY-006", ["F1-2"]), ("F1", "CTX-004", ["F1-1"])], "filing_id string, rule_code string, evidence array<string>")
+    found = foreign_evidence(Given, results).collect()
+    assert sorted(map(tuple, found)) == [("F1", "ACC-001", "F9-1"), ("F1", "HRY-006", "F1-2")]
