@@ -1,6 +1,6 @@
 """Mapping review: impact, inventory, new versions, reprocessing and review marks as batch decisions."""
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import ids, scalars as S
 from .latest import latest
@@ -44,8 +44,9 @@ def create_versions(requests: DataFrame, mappings: DataFrame) -> DataFrame:
     code = F.when(c("derived") != c("series_key"), "MAPPING_SERIES_MISMATCH").when(~c("expected_version").eqNullSafe(c("now")), "MAPPING_VERSION_STALE")
     r = r.withColumn("code", code)
     # of several good requests for one series the first wins
-    good = F.sum(F.when(c("code").isNull(), 1).otherwise(0)).over(W.partitionBy("series_key").orderBy("request_id"))
-    r = r.withColumn("nth", good).withColumn("code", F.when(c("code").isNull() & (c("nth") > 1), "MAPPING_VERSION_CONFLICT").otherwise(c("code")))
+    winner = r.where(c("code").isNull()).groupBy("series_key").agg(F.min("request_id").alias("winner"))
+    late = c("code").isNull() & (c("request_id") != c("winner"))
+    r = r.join(winner, "series_key", "left").withColumn("code", F.when(late, "MAPPING_VERSION_CONFLICT").otherwise(c("code")))
     return r.select("request_id", "series_key", "code", F.when(c("code").isNull(), F.coalesce("now", F.lit(0)) + 1).alias("rule_version"), F.when(c("code").isNull(), c("supersedes")).alias("supersedes"))
 
 

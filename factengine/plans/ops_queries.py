@@ -455,7 +455,11 @@ def c13(t):
     select request_id, done as code, case when done is null then now + 1 end as rule_version, case when done is null then top end as supersedes from final
 """)
 def c14(t):
-    r = t.v_filings.where(C("fiscal_year") == 1996).select("o_orderkey", F.concat(F.lit("M0"), (1 + C("o_orderkey") % 8).cast("string")).alias("mapping_rule_id")).join(t.v_series, "mapping_rule_id")
+    return versions(t, t.v_filings.where(C("fiscal_year") == 1996))
+
+
+def versions(t, filings):
+    r = filings.select("o_orderkey", F.concat(F.lit("M0"), (1 + C("o_orderkey") % 8).cast("string")).alias("mapping_rule_id")).join(t.v_series, "mapping_rule_id")
     now = t.v_series.groupBy("series_key").agg(F.max("rule_version").alias("top_version"))
     r = r.join(now, "series_key")
     requests = r.select(
@@ -465,6 +469,19 @@ def c14(t):
     return RV.create_versions(requests, t.v_series).select("request_id", "code", "rule_version", "supersedes")
 
 
+@query("c26_create_all_versions", """
+    with r as (select s.*, 'R' || f.o_orderkey as request_id, f.o_orderkey, case when f.o_orderkey % 3 = 0 then s.rule_version + 1 else (select max(rule_version) from v_series x where x.series_key = s.series_key) end as expected, (select max(rule_version) from v_series x where x.series_key = s.series_key) as now,
+            (select arg_max(mapping_rule_id, (rule_version, mapping_rule_id)) from v_series x where x.series_key = s.series_key) as top, case when f.o_orderkey % 5 = 0 then 'other' else s.source_concept end as concept
+        from v_filings f join v_series s on s.mapping_rule_id = 'M0' || (1 + f.o_orderkey % 8)),
+    coded as (select *, case when concept <> source_concept then 'MAPPING_SERIES_MISMATCH' when expected <> now then 'MAPPING_VERSION_STALE' end as code from r),
+    ranked as (select *, sum(case when code is null then 1 else 0 end) over (partition by series_key order by request_id) as nth from coded),
+    final as (select *, case when code is null and nth > 1 then 'MAPPING_VERSION_CONFLICT' else code end as done from ranked)
+    select request_id, done as code, cast(case when done is null then now + 1 end as varchar) as rule_version, case when done is null then top end as supersedes from final
+""")
+def c26(t):
+    return versions(t, t.v_filings).withColumn("rule_version", C("rule_version").cast("string"))
+
+
 @query("c15_reprocess_set", """
     with r as (select mapping_rule_id, filing_id, case when o_orderkey % 4 = 1 then 99 else rule_version end as expected from v_filings, v_current where o_orderkey % 50 = 1)
     select r.mapping_rule_id, r.filing_id, case when m.rule_version <> r.expected then 'MAPPING_SET_VERSION_STALE' when m.status <> 'APPROVED' then 'MAPPING_NOT_APPROVED' when i.filing_id is null then 'FILING_OUTSIDE_IMPACT' when r.filing_id in (select filing_id from v_job_runs where status = 'RUNNING') then 'ACTIVE_OPERATION' end as code

@@ -32,3 +32,10 @@ def test_foreign_evidence_of_every_rule(spark):
     results = spark.createDataFrame([("F1", "ACC-001", ["F1-1", "F9-1"]), ("F1", "HRY-006", ["F1-2"]), ("F1", "CTX-004", ["F1-1"])], "filing_id string, rule_code string, evidence array<string>")
     found = foreign_evidence(Given, results).collect()
     assert sorted(map(tuple, found)) == [("F1", "ACC-001", "F9-1"), ("F1", "HRY-006", "F1-2")]
+
+
+def test_versions_of_all_years(spark, sf_dir):
+    got = run(spark, sf_dir, "c26_create_all_versions")
+    assert got.count() == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "request_id" not in "".join(x for x in plan.splitlines() if "Window" in x)
