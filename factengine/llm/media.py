@@ -44,8 +44,8 @@ def wav_samples(media: bytes) -> bytes:
 def spectrogram(samples: np.ndarray):
     """Power spectra of Hann frames, in blocks of at most BLOCK frames."""
     x = samples.astype(np.float32) - 128
-    if len(x) < FRAME:
-        x = np.pad(x, (0, FRAME - len(x)), mode="edge")
+    short = FRAME - len(x) if len(x) < FRAME else -(len(x) - FRAME) % HOP
+    x = np.pad(x, (0, short), mode="edge")  # the last frame covers the end
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     hann = np.hanning(FRAME).astype(np.float32)
     for k in range(0, len(frames), BLOCK):

@@ -93,6 +93,16 @@ def test_media(spark, sf_dir, docs):
         assert media.wav_samples(stored) == payload and (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
 
 
+def test_media_frames_cover_the_end():
+    for n in (64, 512, 576, 704, 768, 832):
+        x = np.random.default_rng(n).integers(0, 256, n).astype(np.uint8)
+        y = x.copy()
+        y[-60:] = 255 - y[-60:]
+        one, other = (np.concatenate(list(media.spectrogram(v))) for v in (x, y))
+        assert len(one) == 1 + max(0, -(-(n - media.FRAME) // media.HOP))
+        assert not np.allclose(one[-1], other[-1])
+
+
 def test_media_peaks_and_odd(odd, empty):
     t = np.arange(media.RATE)
     tone = (128 + 60 * np.sin(2 * np.pi * 1000 * t / media.RATE) * (1 + np.sin(2 * np.pi * 4 * t / media.RATE)) / 2).astype(np.uint8)
