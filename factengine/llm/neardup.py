@@ -6,30 +6,39 @@ sketch) estimate a candidate pair's similarity by the population count of the
 XOR. What the estimate leaves (ESTIMATE, seven standard deviations below the
 threshold 0.8) is confirmed on the full shingle sets.
 
-Equal sets are one class (64-bit hash of the set) before any pairing. A band
-bucket is a star around three of its classes, so it gives candidates per member,
-not per pair; each class's best hub is confirmed first. What a bucket then still
-holds in different components is compared whole: in buckets of up to SMALL members
-pair by pair, in larger ones the members outside the largest component, in blocks,
-against all members, in blocks.
-Hubs are salted, so a group with any share of all rows is spread over tasks.
+Equal sets are one class (64-bit hash of the set) before any pairing. Links are
+found in three steps, and after each one what is linked is one component:
+
+1. A band bucket is a star around three of its classes, so it gives candidates per
+   member, not per pair; each class is held against its best hub by sketch.
+2. In buckets of more than a block, each class is held against a block of hubs of
+   the largest bucket it is in.
+3. Buckets that still hold several components are compared whole: members outside
+   the largest component, in blocks, against all members, in blocks.
+
+In steps 2 and 3 the sketches first leave only members with a candidate in another
+component; their full sets are then counted against each other exactly. A block
+returns a forest, at most a link for each component in it, so links grow with the
+members of a group and not with its pairs. Blocks are bounded in members and in
+shingles; a group with any share of all rows is spread over tasks.
 The chance that no band holds a pair of similarity 0.8 is below 1e-6.
 
 Defined results: null, empty and blank texts have no shingles, are linked with
 nothing and are kept; equal texts are linked; of repeated rows with one id all
-are kept; null ids come after all others.
+are ``kept``, and one is ``first``; null ids come after all others; an empty table
+gives no rows.
 """
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bounded_batches, fields, freeze, map_rows, utf8
+from .common import fields, freeze, map_groups, map_rows, utf8
 from .lm import split_words
 
-BANDS, ROWS, SKETCH, SALT, SMALL = 48, 6, 1024, 256, 32
+BANDS, ROWS, SKETCH, SALT = 48, 6, 1024, 256
+BLOCK, BLOCK_SHINGLES, SLICE = 512, 1 << 20, 4096  #: members and shingles of a block; shingles counted at once
 ESTIMATE = 0.6
 _RNG = np.random.default_rng(11)
 _A = (_RNG.integers(1, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1))[:, None]
@@ -108,22 +117,20 @@ def _estimate(a: str, b: str):
     return F.lit(1.0) + F.lit(SKETCH / (4.0 * BANDS * ROWS)) * F.log(inside)
 
 
-def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(cls, shingles) of the wanted classes, from the text of each one's first document."""
-    first = wanted.distinct().join(classes.select("cls", F.col("first").alias("wanted_id")), "cls")
-    texts = docs.select(F.col("doc_id").alias("text_id"), utf8().alias("text")).join(first, F.col("text_id").eqNullSafe(F.col("wanted_id")))
+#: The most differing bits of two sketches whose estimate is ESTIMATE at least.
+FAR = int(SKETCH / 2 * (1 - np.exp((ESTIMATE - 1) * 4 * BANDS * ROWS / SKETCH)))
 
-    def make():
-        shingles = shingler(k)
 
-        def row(r):
-            found = shingles(r[1])
-            return (r[0], found.tobytes()) if class_of(found) == r[0] else None
+def _sets(signed: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(cls, shingles) of the wanted classes, from the text of each one's first row."""
+    first = classes.select("cls", F.col("first.row").alias("row")).join(wanted.distinct(), "cls", "left_semi")
+    texts = signed.select("row", utf8().alias("text")).join(first, "row")
 
-        return row
+    def make():
+        shingles = shingler(k)
+        return lambda r: (shingles(r[0]).tobytes(),)
 
-    # an id may stand at several rows with the same text
-    return freeze(map_rows(texts.select("cls", "text"), make, "cls bigint, shingles binary").dropDuplicates(["cls"]), "shingle_sets")
+    return freeze(map_rows(texts.select("cls", "text"), make, "cls bigint, shingles binary", kept=1), "shingle_sets")
 
 
 def _similar(full: np.ndarray, mine: np.ndarray, percent: int) -> bool:
@@ -152,36 +159,117 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.select("cls", "hub", "salt", "member", "shingles").mapInArrow(run, "a bigint, b bigint")
 
 
-def _verify_blocks(comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components of each bucket of comp (band, cls, comp): members outside the bucket's largest component, in blocks, against all its members, in blocks; one link for each member and component it reaches."""
-    sizes = comp.groupBy("band", "comp").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("band").agg(F.max_by("comp", F.struct("size", "comp")).alias("largest"), F.sum("size").alias("n"), F.max("size").alias("most"))
-    blocks = lambda n: F.ceil(n / SALT).cast("int")
-    rows = comp.join(largest, "band").withColumns({"m": blocks(F.col("n")), "q": blocks(F.col("n") - F.col("most"))})
-    deal = lambda n: F.pmod(F.xxhash64("cls"), n).cast("int")
+def common_shingles(asks: list[np.ndarray], there: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of the one list with each of the other, exactly: products of incidence matrices, some shingles at a time."""
+    sets = [*asks, *there]
+    size = np.array([len(v) for v in sets])
+    ids, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    owner = np.repeat(np.arange(len(sets)), size)
+    shared = counts > 1
+    several = shared[ids]
+    number = np.cumsum(shared) - 1
+    ids, owner = number[ids[several]], owner[several]
+    by = np.argsort(ids, kind="stable")
+    ids, owner = ids[by], owner[by]
+    out = np.zeros((len(asks), len(there)), np.float32)
+    for lo in range(0, int(shared.sum()), SLICE):
+        part = slice(*np.searchsorted(ids, (lo, lo + SLICE)))
+        held = np.zeros((len(sets), SLICE), np.float32)
+        held[owner[part], ids[part] - lo] = 1
+        out += held[: len(asks)] @ held[len(asks) :].T
+    return out.astype(np.int64)
+
+
+def forest(linked: np.ndarray, asks: np.ndarray, there: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of components that ``linked`` joins, without those that others imply; asks and there name the components of its rows and columns."""
+    label, out = {c: c for c in {*asks.tolist(), *there.tolist()}}, []
+
+    def root(c):
+        while label[c] != c:
+            label[c] = c = label[label[c]]
+        return c
+
+    for i in np.flatnonzero(linked.any(axis=1)).tolist():
+        for c in np.unique(there[linked[i]]).tolist():
+            a, b = root(int(asks[i])), root(c)
+            if a != b:
+                label[max(a, b)] = min(a, b)
+                out.append((int(asks[i]), c))
+    return out
+
+
+def _compare(dealt: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): components that some similar pair of a block links. dealt: (band, mb, qb, cls, comp, asks) of blocks."""
+
+    def candidates():
+        def f(g):
+            asks = np.flatnonzero(g["asks"])
+            there = np.flatnonzero(g["asks"] == 0)
+            near = np.zeros((len(asks), len(there)), bool)
+            if len(asks) and len(there):
+                sketch, n, comp = np.array(g["sketch"], np.int64).view(np.uint64), g["n"], g["comp"]
+                for at in range(0, len(asks), 32):
+                    i = asks[at : at + 32]
+                    z = np.bitwise_count(sketch[i][:, None] ^ sketch[there][None]).sum(axis=2)
+                    small, large = np.minimum(n[i][:, None], n[there][None]), np.maximum(n[i][:, None], n[there][None])
+                    near[at : at + 32] = (z <= FAR) & (100 * small >= percent * large) & (comp[i][:, None] != comp[there][None])
+            take = [*asks[near.any(axis=1)], *there[near.any(axis=0)]]
+            return [(int(g["band"][i]), int(g["mb"][i]), int(g["qb"][i]), int(g["cls"][i]), int(g["comp"][i]), int(g["asks"][i])) for i in take]
+
+        return f
+
+    def confirmed():
+        def f(g):
+            asks, there = np.flatnonzero(g["asks"]), np.flatnonzero(g["asks"] == 0)
+            if not len(asks) or not len(there):
+                return []
+            x, y = ([np.frombuffer(g["shingles"][i], np.uint64) for i in k] for k in (asks, there))
+            n, m = (np.array([len(v) for v in k]) for k in (x, y))
+            both, comp = common_shingles(x, y), g["comp"]
+            linked = (100 * both >= percent * (n[:, None] + m[None] - both)) & (comp[asks][:, None] != comp[there][None])
+            return forest(linked, comp[asks], comp[there])
+
+        return f
+
+    keys, block = ["band", "mb", "qb"], "band bigint, mb int, qb int, cls bigint, comp bigint, asks int"
+    left = freeze(map_groups(dealt.join(classes.select("cls", "n", "sketch"), "cls"), keys, candidates, block), "candidates")
+    return map_groups(left.join(sets, "cls"), keys, confirmed, "a bigint, b bigint").distinct()
+
+
+def _blocks(size: str, weight: str) -> Column:
+    """How many blocks a bucket of so many members and shingles is cut into."""
+    return F.ceil(F.greatest(F.col(size) / BLOCK, F.col(weight) / BLOCK_SHINGLES)).cast("int")
+
+
+def _deal(n: Column) -> Column:
+    return F.pmod(F.xxhash64("cls"), n).cast("int")
+
+
+def _hub_blocks(comp: DataFrame) -> DataFrame | None:
+    """Blocks of step 2: of each bucket of several blocks, the first one is held against the classes for which it is the largest bucket. None without such buckets."""
+    sizes = comp.groupBy("band").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).withColumn("m", _blocks("size", "weight")).where(F.col("m") > 1)
+    rows = freeze(comp.join(sizes, "band"), "large_buckets")
+    if rows.isEmpty():
+        return None
+    largest = rows.groupBy("cls").agg(F.max(F.struct("size", "band")).alias("of"))
+    own = rows.join(largest, "cls").where(F.col("band") == F.col("of.band"))
+    blocks = own.groupBy("band", _deal(F.col("m")).alias("mb")).agg(F.lit(0).alias("qb"))
+    there = own.select("band", _deal(F.col("m")).alias("mb"), F.lit(0).alias("qb"), "cls", "comp", F.lit(0).alias("asks"))
+    hubs = rows.where(_deal(F.col("m")) == 0).select("band", "cls", "comp").join(blocks, "band").select("band", "mb", "qb", "cls", "comp", F.lit(1).alias("asks"))
+    return there.unionAll(hubs)
+
+
+def _whole_blocks(comp: DataFrame) -> DataFrame:
+    """Blocks of step 3: members outside the largest component against all members."""
+    parts = comp.groupBy("band", "comp").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
+    most = F.max(F.struct("size", "comp", "weight"))
+    buckets = parts.groupBy("band").agg(most.alias("most"), F.sum("size").alias("size"), F.sum("weight").alias("weight"))
+    buckets = buckets.withColumn("m", _blocks("size", "weight")).withColumns({"size": F.col("size") - F.col("most.size"), "weight": F.col("weight") - F.col("most.weight")})
+    rows = comp.join(buckets.select("band", "m", F.col("most.comp").alias("largest"), _blocks("size", "weight").alias("q")), "band")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    targets = rows.select("band", "cls", "comp", F.lit(False).alias("asks"), deal(F.col("m")).alias("mb"), each("q").alias("qb"))
-    asking = rows.where(F.col("comp") != F.col("largest")).select("band", "cls", "comp", F.lit(True).alias("asks"), each("m").alias("mb"), deal(F.col("q")).alias("qb"))
-    dealt = targets.unionAll(asking).join(sets, "cls")
-
-    def run(group: pa.Table) -> pa.Table:
-        asks = np.array(group["asks"].to_pylist())
-        cls, comp_, data = group["cls"].to_numpy(), group["comp"].to_numpy(), group["shingles"].to_pylist()
-        there = np.flatnonzero(~asks)
-        values = [np.frombuffer(data[i], np.uint64) for i in there]
-        size = np.array([len(v) for v in values])
-        flat, owner = np.concatenate(values) if values else np.zeros(0, np.uint64), np.repeat(np.arange(len(there)), size)
-        out = []
-        for i in np.flatnonzero(asks) if len(there) else []:
-            mine = np.frombuffer(data[i], np.uint64)
-            hit = mine[np.searchsorted(mine, flat).clip(max=len(mine) - 1)] == flat
-            both = np.bincount(owner[hit], minlength=len(there))
-            linked = np.flatnonzero((100 * both >= percent * (size + len(mine) - both)) & (comp_[there] != comp_[i]))
-            _, first = np.unique(comp_[there[linked]], return_index=True)
-            out += [(int(cls[i]), int(cls[there[j]])) for j in linked[first]]
-        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
-
-    return dealt.groupBy("band", "mb", "qb").applyInArrow(run, "a bigint, b bigint")
+    there = rows.select("band", _deal(F.col("m")).alias("mb"), each("q").alias("qb"), "cls", "comp", F.lit(0).alias("asks"))
+    asks = rows.where(F.col("comp") != F.col("largest")).select("band", each("m").alias("mb"), _deal(F.col("q")).alias("qb"), "cls", "comp", F.lit(1).alias("asks"))
+    return there.unionAll(asks)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -198,61 +286,65 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text)."""
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (cls, comp) after links between their components, or between classes without one."""
+    more = components(links)
+    up = labels.join(more.select(F.col("cls").alias("comp"), F.col("comp").alias("up")), "comp", "left")
+    alone = more.join(labels, "cls", "left_anti")
+    return freeze(up.select("cls", F.coalesce("up", "comp").alias("comp")).unionAll(alone.select("cls", "comp")), "labels")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, keep: list[str] = ()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, first) and other columns named in keep for each row of docs (doc_id, text): ``kept`` rows have their component's smallest id, one row of each is ``first``."""
     if percent < 80:
         raise ValueError("the bands are laid out for similarities of 0.8 and more")
+    wanted, keep = keep, [c for c in keep if c not in ("doc_id", "text")]
 
     def make():
         shingles = shingler(shingle)
 
         def row(r):
-            found = shingles(r[1])
+            found = shingles(r[0])
             if not len(found):
-                return r[0], 0, None, None, None
+                return 0, None, None, None
             s = samples(found)
-            return r[0], len(found), class_of(found), band_keys(s), odd_sketch(s)
+            return len(found), class_of(found), band_keys(s), odd_sketch(s)
 
         return row
 
-    schema = fields(docs, ["doc_id"]) + "n_shingles bigint, cls bigint, bands array<bigint>, sketch array<bigint>"
-    signed = freeze(map_rows(docs.select("doc_id", utf8().alias("text")), make, schema), "minhash")
+    held = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), *(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)))
+    schema = fields(held, held.columns) + "n_shingles bigint, cls bigint, bands array<bigint>, sketch array<bigint>"
+    signed = freeze(map_rows(held, make, schema, kept=len(held.columns), reads=["text"]), "minhash")
     known = signed.where(F.col("cls").isNotNull())
-    classes = freeze(known.groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row"))
+    classes = freeze(known.groupBy("cls").agg(first.alias("first"), *(F.first(c).alias(c) for c in ("n_shingles", "sketch", "bands"))).withColumnRenamed("n_shingles", "n"), "classes")
 
-    rows = known.select("cls", F.explode("bands").alias("band"))
+    rows = classes.select("cls", "n", F.explode("bands").alias("band"))
     hubs = F.array(F.min("cls"), F.max("cls"), F.min_by("cls", F.xxhash64("cls")))
     stars = rows.groupBy("band").agg(hubs.alias("hubs")).where(F.col("hubs")[0] < F.col("hubs")[1])
-    members = freeze(rows.join(stars, "band").distinct(), "buckets")  # (band, cls, hubs) of buckets with two classes at least
+    members = freeze(rows.join(stars, "band"), "buckets")  # (band, cls, n, hubs) of buckets with two classes at least
 
     fits = lambda n_a, n_b: 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
     side = lambda c: classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
     near = members.select(F.col("cls").alias("a"), F.explode("hubs").alias("b")).where(F.col("a") != F.col("b")).distinct()
     near = near.join(side("a"), "a").join(side("b"), "b").where(fits("n_a", "n_b")).withColumn("estimate", _estimate("s_a", "s_b"))
     best = freeze(near.where(F.col("estimate") >= ESTIMATE).groupBy("a").agg(F.max_by("b", F.struct("estimate", "b")).alias("b")), "hubs")
-    sets = _sets(docs, classes, best.select(F.col("a").alias("cls")).unionAll(best.select(F.col("b").alias("cls"))), shingle)
-    edges = freeze(_verify(best, sets, percent), "edges")
-    labels = components(edges)
-
-    # what buckets still hold in different components: small ones pair by pair, large ones block by block
-    comp = members.select("band", "cls").join(labels, "cls", "left").select("band", "cls", F.coalesce("comp", "cls").alias("comp"))
-    mixed = comp.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where(F.col("lo") < F.col("hi"))
-    comp = freeze(comp.join(mixed.select("band", "size"), "band"), "mixed_buckets")
-    few = comp.where(F.col("size") <= SMALL).select("band", "cls", "comp").join(classes.select("cls", "n", "sketch"), "cls")
-    x, y = (few.select("band", F.col("cls").alias(c), F.col("comp").alias(f"comp_{c}"), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in "ab")
-    differ = (x["band"] == y["band"]) & (F.col("comp_a") != F.col("comp_b")) & (F.col("a") > F.col("b"))
-    cross = x.join(y, differ & fits("n_a", "n_b") & (_estimate("s_a", "s_b") >= ESTIMATE)).select("a", "b").distinct()
-    rest = freeze(cross.join(best, ["a", "b"], "left_anti"), "rest")
-    large = comp.where(F.col("size") > SMALL).select("band", "cls", "comp")
-    wanted = rest.select(F.col("a").alias("cls")).unionAll(rest.select(F.col("b").alias("cls"))).unionAll(large.select("cls"))
-    if not wanted.isEmpty():
-        sets = _sets(docs, classes, wanted, shingle)
-        more = _verify(rest, sets, percent).unionAll(_verify_blocks(large, sets, percent))
-        labels = components(freeze(edges.unionAll(more), "edges"))
+    sets = _sets(signed, classes, members.select("cls"), shingle)
+    labels = components(_verify(best, sets, percent))
+
+    for blocks in (_hub_blocks, _whole_blocks):
+        comp = members.select("band", "cls", "n").join(labels, "cls", "left").select("band", "cls", "n", F.coalesce("comp", "cls").alias("comp"))
+        mixed = comp.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") < F.col("hi"))
+        dealt = blocks(freeze(comp.join(mixed.select("band"), "band"), "mixed_buckets"))
+        if dealt is not None:
+            labels = _joined(labels, _compare(dealt, classes, sets, percent))
 
     named = classes.select("cls", "first").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    smallest = named.groupBy("comp").agg(F.min("first").alias("component_id"))
-    by_class = named.join(smallest, "comp").select("cls", "component_id")
-    out = signed.select("doc_id", "n_shingles", "cls").join(by_class, "cls", "left")
-    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    smallest = named.groupBy("comp").agg(F.min("first").alias("smallest"))
+    by_class = named.join(smallest, "comp").select("cls", "smallest")
+    out = signed.drop("bands", "sketch").join(by_class, "cls", "left")
+    alone = F.col("cls").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("smallest.doc_id"))
+    kept = F.col("doc_id").eqNullSafe(component)
+    rest = ["text"] * ("text" in wanted) + [F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)]
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), (alone | (F.col("row") == F.col("smallest.row"))).alias("first"), *rest)

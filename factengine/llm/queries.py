@@ -10,7 +10,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
+    found = neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,9 +48,10 @@ def test_near_duplicates(spark, sf_dir, docs):
     assert got == brute.near_duplicates(docs)
 
 
-@pytest.mark.parametrize("small", [1, 32])
-def test_near_copies_of_one_text(spark, monkeypatch, small):
-    monkeypatch.setattr(neardup, "SMALL", small)
+@pytest.mark.parametrize("block, shingles", [(16, 1 << 20), (512, 1 << 20), (512, 2000)])
+def test_near_copies_of_one_text(spark, monkeypatch, block, shingles):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", shingles)
     monkeypatch.setattr(neardup, "SALT", 16)
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in range(120)]
@@ -62,12 +63,48 @@ def test_near_copies_of_one_text(spark, monkeypatch, small):
     assert got == brute.near_duplicates(rows)
 
 
+def test_links_grow_with_members(spark, monkeypatch):
+    """Links of a group of near copies, few of which are similar enough, grow no faster than its members."""
+    seen = []
+    real = neardup._joined
+    monkeypatch.setattr(neardup, "BLOCK", 64)
+    monkeypatch.setattr(neardup, "_joined", lambda labels, links: seen.append(links.count()) or real(labels, links))
+    rng, base, made = np.random.default_rng(5), [f"w{i}" for i in range(100)], {}
+    for n in (250, 1000):
+        rows = [(i, " ".join(w if rng.random() > 0.055 else f"z{rng.integers(1e6)}" for w in base)) for i in range(n)]
+        seen.clear()
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=2).collect()}
+        made[n] = sum(seen)
+        if n == 250:
+            assert got == brute.near_duplicates(rows)
+    assert made[250] <= 1000 and made[1000] <= 4000
+
+
+def test_common_shingles_and_forest(monkeypatch):
+    monkeypatch.setattr(neardup, "SLICE", 7)
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint64)) for _ in range(30)]
+    got = neardup.common_shingles(sets[:12], sets[12:])
+    assert got.tolist() == [[len({*a.tolist()} & {*b.tolist()}) for b in sets[12:]] for a in sets[:12]]
+    linked = np.ones((4, 5), bool)
+    assert len(neardup.forest(linked, np.array([1, 1, 2, 3]), np.array([3, 4, 5, 6, 1]))) == 5
+
+
 def test_near_duplicates_odd(odd, empty):
-    rows = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(odd).collect()]
+    found = neardup.near_duplicates(odd, keep=["text", "lang", "n_words", "chunk", "score"]).collect()
+    rows = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found]
     assert sorted(map(str, rows)) == sorted(map(str, [(1, 12, 1, True), (2, 12, 1, False), (2, 12, 1, False), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True), (None, 13, 1, False), (6, 5, 6, True), (7, 1, 7, True), (8, 1, 8, True), (None, 0, None, True)]))
+    assert sorted(str(r.doc_id) for r in found if r["first"]) == sorted(map(str, [1, 3, 4, 5, 6, 7, 8, None]))
+    assert {r.doc_id: r.text for r in found}[6] == LONG and {(r.n_words, r.chunk, r.score, r.lang) for r in found} == {("n", 1, 0.0, None)}
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_repeated_rows_and_null_ids_leave_one_row(spark):
+    rows = [(5, SAME), (5, SAME), (None, SAME), (None, "other words entirely here now"), (None, "other words entirely here now")]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), keep=["text"]).where("first").collect()
+    assert sorted((str(r.doc_id), r.text) for r in found) == [("5", SAME), ("None", "other words entirely here now")]
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(1)
     for share in (0.7, 0.8, 0.9):
