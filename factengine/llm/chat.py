@@ -24,18 +24,19 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import bounded_batches, fields, map_rows
 
+#: Names of roles in layouts that say from whom a value is; elsewhere roles stay as they are.
 ROLES = {"human": "user", "gpt": "assistant", "model": "assistant", "bot": "assistant"}
 
 
-def _layout(paths: str, *turns: tuple, each: str = "") -> dict:
-    """turns: (role or path of the role, path of the text); ``each``: the list they are taken from."""
-    return {"paths": sorted(paths.split()), "turns": turns, "each": each}
+def _layout(paths: str, *turns: tuple, each: str = "", roles: dict[str, str] | None = None) -> dict:
+    """turns: (role or path of the role, path of the text); ``each``: the list they are taken from; ``roles``: what other names of roles mean in this layout."""
+    return {"paths": sorted(paths.split()), "turns": turns, "each": each, "roles": roles or {}}
 
 
 #: Declared layouts; ``[]`` stands for the entries of a list, ``=`` marks a fixed role.
 LAYOUTS = [
     _layout("messages[].role messages[].content", ("role", "content"), each="messages"),
-    _layout("conversations[].from conversations[].value", ("from", "value"), each="conversations"),
+    _layout("conversations[].from conversations[].value", ("from", "value"), each="conversations", roles=ROLES),
     _layout("prompt response", ("=user", "prompt"), ("=assistant", "response")),
     _layout("prompt completion", ("=user", "prompt"), ("=assistant", "completion")),
     _layout("instruction input output", ("=system", "instruction"), ("=user", "input"), ("=assistant", "output")),
@@ -74,23 +75,23 @@ def canonical_turns(records: DataFrame, record: str, keep: list[str]) -> DataFra
 
         def row(r):
             try:
-                value = json.loads(r[-1])
+                value = json.loads(r[0])
                 print_ = fingerprint(field_paths(value))
             except (TypeError, ValueError):
                 value, print_ = None, None
             if not (layout := known.get(print_)):
-                return *r[:-1], print_, [{"part": 0, "role": None, "text": None}]
+                return print_, [{"part": 0, "role": None, "text": None}]
             turns = []
             for item in value[layout["each"]] if layout["each"] else [value]:
                 for role, text in layout["turns"]:
                     who = role[1:] if role[0] == "=" else str(_get(item, role) or "")
                     said = _get(item, text)
-                    turns.append({"part": len(turns), "role": ROLES.get(who, who), "text": "" if said is None else str(said)})
-            return *r[:-1], print_, turns
+                    turns.append({"part": len(turns), "role": layout["roles"].get(who, who), "text": "" if said is None else str(said)})
+            return print_, turns
 
         return row
 
-    turns = map_rows(records.select(*keep, record), make, fields(records, keep) + "fingerprint string, turns array<struct<part:int,role:string,text:string>>")
+    turns = map_rows(records.select(*keep, record), make, fields(records, keep) + "fingerprint string, turns array<struct<part:int,role:string,text:string>>", kept=len(keep))
     return turns.select(*keep, "fingerprint", F.explode("turns").alias("t")).select(*keep, "fingerprint", "t.part", "t.role", "t.text")
 
 
