@@ -2,13 +2,14 @@
 
 Records are dealt to archives by a prefix of their key's hash, whose length
 follows the number of records, and stand in each archive in key order at running
-offsets. A leaf hashes a record's digest with its offset and length; a node
-hashes up to FANOUT children in order. ``audit`` compares archive roots and
+offsets. A leaf hashes a record's digest with its offset, length and number of copies; a
+node hashes up to FANOUT children in order, and each level is written once. ``audit`` compares archive roots and
 descends level by level, joining only the children of mismatching nodes.
 
 Defined results: null urls and payloads are written as empty; identical records
-are stored once with their number of copies; a record that one replica lacks
-shows as a null digest; empty tables give empty trees and no findings.
+are stored once with their number of copies, and copies that a replica lost are
+found; a record that one replica lacks shows as a null digest; records with one
+key and different bytes are held against each other in the order of their digests; empty tables give empty trees and no findings.
 """
 
 from pyspark.sql import DataFrame, functions as F, Window
@@ -38,7 +39,7 @@ def warc_records(pages: DataFrame, payload: str = "html") -> DataFrame:
 
 def archives(records: DataFrame, digits: int) -> DataFrame:
     """records + (archive, position, offset); archives hold about ARCHIVE_RECORDS records."""
-    w = Window.partitionBy("archive").orderBy("key")
+    w = Window.partitionBy("archive").orderBy("key", "digest", "page_id", "url")
     out = records.withColumn("archive", F.substring("key", 1, digits))
     before = F.coalesce(F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return out.withColumn("position", F.row_number().over(w).cast("bigint") - 1).withColumn("offset", before)
@@ -54,21 +55,22 @@ def archive_digits(n: int) -> int:
 
 def tree(placed: DataFrame, levels: int) -> DataFrame:
     """(level, archive, node, hash, start, end) from leaves (level 0) to roots; a node covers the bytes [start, end)."""
-    leaf = F.sha2(F.concat_ws(":", "offset", "length", "digest"), 256)
+    leaf = F.sha2(F.concat_ws(":", "offset", "length", "digest", "copies"), 256)
     level = placed.select(F.lit(0).alias("level"), "archive", F.col("position").alias("node"), leaf.alias("hash"), F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("end"))
+    level = freeze(level, "warc_level")
     out = level
     for k in range(1, levels + 1):
         children = F.array_sort(F.collect_list(F.struct("node", "hash")))  # at most FANOUT
         level = level.groupBy("archive", F.floor(F.col("node") / FANOUT).alias("parent")).agg(
             F.sha2(F.array_join(F.transform(children, lambda c: c["hash"]), ""), 256).alias("hash"), F.min("start").alias("start"), F.max("end").alias("end")
         )
-        level = level.select(F.lit(k).alias("level"), "archive", F.col("parent").alias("node"), "hash", "start", "end")
+        level = freeze(level.select(F.lit(k).alias("level"), "archive", F.col("parent").alias("node"), "hash", "start", "end"), "warc_level")
         out = out.unionAll(level)
     return out
 
 
 def audit(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Records on which two replicas (from warc_records) differ: page_id, url, key, archive, position, offset, length, expected, found."""
+    """Records on which two replicas (from warc_records) differ: page_id, url, key, archive, position, offset, length, expected, found (digests), expected_copies, found_copies."""
     n, m = left.count(), right.count()
     digits = archive_digits(max(n, m))
     a, b = (freeze(archives(x, digits), "warc_replica") for x in (left, right))
@@ -76,7 +78,7 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
     levels = 0
     while FANOUT**levels <= most:
         levels += 1
-    ta, tb = (freeze(tree(x, levels), "warc_tree") for x in (a, b))
+    ta, tb = (tree(x, levels) for x in (a, b))
     wrong = None
     for k in range(levels, -1, -1):
         x = ta.where(F.col("level") == k).select("archive", "node", F.col("hash").alias("hash_a"))
@@ -86,10 +88,11 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
             x, y = (t.withColumn("parent", F.floor(F.col("node") / FANOUT)).join(parents, ["archive", "parent"], "left_semi").drop("parent") for t in (x, y))
         wrong = x.join(y, ["archive", "node"], "full").where(~F.col("hash_a").eqNullSafe(F.col("hash_b"))).select("archive", "node")
     leaves = wrong.select("archive", F.col("node").alias("position"))
-    expected = a.join(leaves, ["archive", "position"], "left_semi").select("page_id", "url", "key", "archive", "position", "offset", "length", F.col("digest").alias("expected"))
-    found = b.join(leaves, ["archive", "position"], "left_semi").select("page_id", "url", "key", "archive", "position", "offset", "length", F.col("digest").alias("found"))
-    same = ["page_id", "url", "key", "archive"]
-    both = expected.alias("e").join(found.alias("f"), F.col("e.key") == F.col("f.key"), "full")
+    nth = F.row_number().over(Window.partitionBy("archive", "key").orderBy("digest", "page_id", "url")).alias("nth")
+    sides = (x.join(leaves, ["archive", "position"], "left_semi").select("page_id", "url", "key", "archive", "position", "offset", "length", "digest", "copies", nth) for x in (a, b))
+    expected, found = (x.alias(name) for x, name in zip(sides, "ef"))
+    both = expected.join(found, (F.col("e.key") == F.col("f.key")) & (F.col("e.nth") == F.col("f.nth")), "full")
     pick = lambda c: F.coalesce(f"e.{c}", f"f.{c}").alias(c)
-    out = both.select(*map(pick, [*same, "position", "offset", "length"]), "expected", "found")
-    return out.where(~F.col("expected").eqNullSafe(F.col("found")))
+    digests = [F.col("e.digest").alias("expected"), F.col("f.digest").alias("found"), F.col("e.copies").alias("expected_copies"), F.col("f.copies").alias("found_copies")]
+    out = both.select(*map(pick, ["page_id", "url", "key", "archive", "position", "offset", "length"]), *digests)
+    return out.where(~F.col("expected").eqNullSafe(F.col("found")) | ~F.col("expected_copies").eqNullSafe(F.col("found_copies")))
