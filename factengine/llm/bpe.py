@@ -6,7 +6,8 @@ position (see chunks). Decoding joins each id to the token-byte table, which is
 the vocabulary: at most MAX_VOCABULARY rows, checked when it is read.
 
 Defined results: null and empty texts give no ids and empty bytes; repeated rows
-give repeated rows; ids of documents may be null or repeat.
+give repeated rows; ids of documents may be null or repeat; bytes that are not
+UTF-8 are encoded as U+FFFD, once for each part that Python's decoder replaces.
 """
 
 import base64
@@ -60,7 +61,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[st
         match = regex.compile(pattern)
 
         def words(text):
-            text = text.decode()
+            text = text.decode(errors="replace")
             if len(text) < LONG:
                 return [match.findall(text)]
             found = (m.group() for m in match.finditer(text))
