@@ -11,7 +11,8 @@ of distinct hosts and paths are joined to the pages, so a host with a third of
 all pages is counted once; Spark may split its rows in the last joins.
 
 Defined results: null urls and urls without ``://`` have empty host and path and
-are judged by the prior alone; parts longer than a DNS label (63) are one word;
+are judged by the prior alone; parts longer than a DNS label (63 letters) are split
+piece by piece of that length; words have LONGEST letters at most;
 repeated pages give repeated rows; ids may be null.
 """
 
@@ -22,9 +23,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import ascii_lower, freeze, map_rows
 
 #: Words of host names with the weight they start from.
-LEXICON = {w: 50 for w in "ads bets best blog buy casino cheap deal deals farm free game games hot loan loans mail money news online page pharma pills play poker porn prize sale sex shop site slots spam store tech track video web win wiki world".split()}
+LEXICON = {w: 50 for w in "ads adult bets best blog buy casino cheap deal deals farm free game games hot loan loans mail money news online page pharma pills play poker porn prize sale sex shop site slots spam store tech track video web win wiki world".split()}
 #: Words whose hosts teach the block class.
-SEEDS = ("ads", "bets", "casino", "pharma", "pills", "poker", "porn", "slots", "spam", "track")
+SEEDS = ("ads", "adult", "bets", "casino", "pharma", "pills", "poker", "porn", "slots", "spam", "track")
 LABEL, LONGEST, UNKNOWN = 63, 24, 10.0
 
 
@@ -84,14 +85,13 @@ def viterbi(part: str, known: dict[tuple[int, int], int], total: float) -> list[
 def segment(parts: DataFrame, words: DataFrame) -> DataFrame:
     """(part, words): distinct host parts of letters, split into words."""
     total = float(words.agg(F.sum("n")).first()[0] or 1)
-    short = parts.where(F.length("part") <= LABEL)
     starts = F.sequence(F.lit(0), F.length("part") - 1)
     spans = F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(F.lit(1), F.least(F.length("part") - s, F.lit(LONGEST))), lambda k: F.struct(s.alias("s"), k.alias("k")))))
-    candidates = short.select("part", F.explode(spans).alias("at")).select("part", "at", F.substr("part", F.col("at.s") + 1, F.col("at.k")).alias("word"))
+    candidates = parts.select("part", F.explode(spans).alias("at")).select("part", "at", F.substr("part", F.col("at.s") + 1, F.col("at.k")).alias("word"))
     hits = candidates.join(words, "word").groupBy("part").agg(F.collect_list(F.struct("at.s", "at.k", "n")).alias("known"))
 
     def make():
-        return lambda r: (r[0], viterbi(r[0], {(x["s"], x["k"]): x["n"] for x in r[1] or ()}, total) if len(r[0]) <= LABEL else [r[0]])
+        return lambda r: (r[0], viterbi(r[0], {(x["s"], x["k"]): x["n"] for x in r[1] or ()}, total))
 
     return map_rows(parts.join(hits, "part", "left").select("part", "known"), make, "part string, words array<string>")
 
@@ -101,7 +101,7 @@ def judge(pages: DataFrame, host: str = "host", path: str = "path") -> DataFrame
     seen = freeze(pages.groupBy(F.col(host).alias("host"), F.col(path).alias("path")).agg(F.count("*").alias("n")), "urls")
     hosts = seen.groupBy("host").agg(F.sum("n").alias("n"))
     paths = seen.groupBy("path").agg(F.sum("n").alias("n"))
-    parts = hosts.select("host", F.explode(F.regexp_extract_all("host", F.lit("[a-z]+|[^a-z.-]+"), F.lit(0))).alias("part"))
+    parts = hosts.select("host", F.explode(F.regexp_extract_all("host", F.lit(f"[a-z]{{1,{LABEL}}}|[^a-z.-]{{1,{LABEL}}}"), F.lit(0))).alias("part"))
     split = segment(parts.select("part").distinct(), vocabulary(hosts, paths))
     tokens = freeze(parts.join(split, "part").select("host", F.explode("words").alias("token")), "host_words")
     blocked = tokens.groupBy("host").agg(F.max(F.col("token").isin(*SEEDS)).alias("block"))
