@@ -18,7 +18,7 @@ import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ascii_lower, fields, map_rows, utf8
+from .common import ascii_lower, fields, freeze, map_rows, with_text
 
 WINDOW = 13
 SHARD_BYTES = 4 << 20
@@ -83,26 +83,27 @@ def _spans(norm: bytes, hit: list[int]) -> list[dict]:
 
 
 def _automata(patterns: DataFrame):
-    """Lists of at most about SHARD_BYTES of patterns each, fetched one at a time."""
-    size = patterns.agg(F.sum(F.octet_length("pattern"))).first()[0] or 0
+    """Lists of at most about SHARD_BYTES of patterns and item names each, fetched one at a time."""
+    names = F.aggregate("items", F.lit(0), lambda n, x: n + F.octet_length(x) + 8)
+    size = patterns.agg(F.sum(F.octet_length("pattern") + names)).first()[0] or 0
     shards = -(-size // SHARD_BYTES) or 1
     for k in range(shards):
         part = patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(shards)) == k) if shards > 1 else patterns
-        yield [(r.pattern.encode(), r.items) for r in part.collect()]
+        yield k == shards - 1, [(r.pattern.encode(), r.items) for r in part.collect()]
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: list[str] = ("doc_id",)) -> DataFrame:
     """keep + (n_words, n_hit, items, spans): words inside any benchmark window, the items met, and hit stretches in original characters."""
     spark = docs.sparkSession
     keep = list(keep)
-    head = fields(docs, keep)
-    schema = head + "__norm binary, n_words bigint, __hit array<int>, items array<string>"
-    out = docs.select(*keep, utf8().alias("__norm"), F.lit(0).cast("bigint").alias("n_words"), F.array().cast("array<int>").alias("__hit"), F.array().cast("array<string>").alias("items"))
-    k = len(keep)
-    for part in _automata(benchmark_windows(benchmark, window)):
+    out, text = with_text(docs, keep)
+    passed = out.columns
+    state = "n_words bigint, __hit array<int>, __items array<string>"
+    reads = text
+    for last, part in _automata(freeze(benchmark_windows(benchmark, window), "benchmark_windows")):
         sent = spark.sparkContext.broadcast(part)
 
-        def make(sent=sent):
+        def make(sent=sent, last=last):
             automaton = ahocorasick.Automaton()
             for pattern, names in sent.value:
                 automaton.add_word(f" {pattern.decode('latin-1')} ", (pattern.count(b" ") + 1, names))
@@ -110,22 +111,20 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
                 automaton.make_automaton()
 
             def row(r):
-                norm = r[k].translate(NORMAL)
+                norm = r[0].translate(NORMAL)
                 total, hit, items = _scan(norm, automaton, window)
-                if not hit and not r[k + 2]:
-                    return *r[:k], norm, total, [], []
-                return *r[:k], norm, total, sorted(hit.union(r[k + 2])), sorted(items.union(r[k + 3]))
+                if len(r) > 1:  # what other automata have hit
+                    hit, items = hit.union(r[1]), items.union(r[2])
+                if not last:
+                    return total, sorted(hit), sorted(items)
+                return total, len(hit), sorted(items), _spans(norm, sorted(hit)) if hit else []
 
             return row
 
-        out = map_rows(out, make, schema)
-
-    def spans():
-        return lambda r: (*r[:k], r[k + 1], len(r[k + 2]), r[k + 3], _spans(r[k], r[k + 2]) if r[k + 2] else [])
-
-    # only hit rows need their normalised text again
-    out = out.withColumn("__norm", F.when(F.size("__hit") > 0, F.col("__norm")).otherwise(F.lit(b"")))
-    return map_rows(out, spans, head + "n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>")
+        schema = "n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>" if last else state
+        out = map_rows(out, make, fields(out, passed) + schema, kept=len(passed), reads=reads)
+        reads = [*text, "__hit", "__items"]
+    return out.select(*keep, "n_words", "n_hit", "items", "spans")
 
 
 def contaminated(share: int = 20):
