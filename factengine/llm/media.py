@@ -82,9 +82,9 @@ def to_wav(docs: DataFrame, keep: list[str] = ("doc_id",)) -> DataFrame:
     keep = list(keep)
 
     def make():
-        return lambda r: (*r[:-1], len(r[-1]), wav_bytes(r[-1]))
+        return lambda r: (len(r[0]), wav_bytes(r[0]))
 
-    return map_rows(docs.select(*keep, utf8().alias("__raw")), make, fields(docs, keep) + "n_bytes bigint, media binary")
+    return map_rows(docs.select(*keep, utf8().alias("__raw")), make, fields(docs, keep) + "n_bytes bigint, media binary", kept=len(keep))
 
 
 def wav_features(media: DataFrame, keep: list[str] = ("doc_id",)) -> DataFrame:
@@ -93,12 +93,12 @@ def wav_features(media: DataFrame, keep: list[str] = ("doc_id",)) -> DataFrame:
 
     def make():
         def row(r):
-            payload = wav_samples(r[-1])
+            payload = wav_samples(r[0])
             codes = fingerprint(np.frombuffer(payload, np.uint8))
-            return *r[:-1], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), codes
+            return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), codes
 
         return row
 
     out = media.select(*keep, F.octet_length("media").cast("bigint").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
     head = fields(out, [*keep, "media_bytes", "media_sha256"])
-    return map_rows(out, make, head + "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, fingerprint array<bigint>")
+    return map_rows(out, make, head + "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, fingerprint array<bigint>", kept=len(keep) + 2)

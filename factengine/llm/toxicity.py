@@ -22,7 +22,7 @@ import zlib
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import fields, map_rows, utf8
+from .common import fields, map_rows, utf8, with_text
 
 PER_CLASS, BUCKETS, MIN_DOCS, MIN_Z, STEPS, RATE, DECAY = 1500, 1 << 20, 4, 4.0, 200, 0.1, 1e-3
 STEMS = range(4, 10)
@@ -139,11 +139,12 @@ def score(docs: DataFrame, model: dict, keep: list[str] = ("doc_id",)) -> DataFr
                     best_at = int(logits.argmax())
                     best = float(logits[best_at])
             span = locate(r[-1], best_at) if best > 0 else None
-            return *r[:-1], float(-np.expm1(clean)), span, float(1 / (1 + np.exp(-best)))
+            return float(-np.expm1(clean)), span, float(1 / (1 + np.exp(-best)))
 
         return row
 
-    return map_rows(docs.select(*keep, utf8().alias("__text")), make, fields(docs, keep) + "score double, worst struct<start:bigint,end:bigint>, worst_score double")
+    sent_rows, text = with_text(docs, keep)
+    return map_rows(sent_rows, make, fields(docs, keep) + "score double, worst struct<start:bigint,end:bigint>, worst_score double", kept=len(keep), reads=text)
 
 
 def locate(text: bytes, sentence: int) -> dict | None:

@@ -130,6 +130,18 @@ def test_media(spark, sf_dir, docs):
         assert media.wav_samples(stored) == payload and (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
 
 
+def test_media_fingerprints(spark, sf_dir, docs):
+    texts = sorted((t for _, t in docs if t), key=len)[:: max(1, len(docs) // 25)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.fingerprint for r in media.wav_features(media.to_wav(frame), keep=["doc_id"]).collect()}
+    wrong = 0
+    for i, text in enumerate(texts):
+        data = text.encode()
+        want = brute.fingerprint(data + bytes(-len(data) % 64))
+        wrong += len({*want} ^ {*got[i]})
+    assert wrong <= 0.01 * sum(map(len, got.values()))  # float32 may settle a near tie the other way
+
+
 def test_media_frames_cover_the_end():
     for n in (64, 512, 576, 704, 768, 832):
         x = np.random.default_rng(n).integers(0, 256, n).astype(np.uint8)
@@ -173,6 +185,22 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+def test_urls_whole_table(spark):
+    from factengine.llm.queries import URL_RULES
+
+    pages = [tuple(r.values()) for r in pq.read_table(f"{SMALL}/pages.parquet", columns=["page_id", "url"]).to_pylist()]
+    want = brute.url_verdicts(pages, URL_RULES, urls.LEXICON, urls.SEEDS)
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in QUERIES["op3_url_filter"](spark, SMALL).collect()}
+    assert got == want and {v for *_, v in want.values()} == {"allow", "block"}
+
+
+def test_urls_clashing_columns(spark):
+    rows = [(1, "x://cheap-pills.org/a", "k", 1.0), (None, None, None, None)]
+    host, path = urls.split_url(F.col("url"))
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, token string, odds double").select("*", host.alias("host"), path.alias("path"))
+    assert [(r.token, r.odds) for r in urls.judge(pages).orderBy(F.desc_nulls_last("page_id")).collect()] == [("k", 1.0), (None, None)]
+
+
 # 4
 
 
@@ -285,6 +313,13 @@ def test_chat_layouts(spark):
     assert len(back) == 6 and all((r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == want for r in back)
 
 
+def test_chat_roles_stay(spark):
+    records = [{"message": {"role": "human", "content": "a"}}, {"messages": [{"role": "model", "content": "b"}]}, {"conversations": [{"from": "human", "value": "c"}]}]
+    frame = spark.createDataFrame([(i, json.dumps(r), "x") for i, r in enumerate(records)], "conv_id bigint, record string, role string")
+    assert [r.role for r in chat.canonical_turns(frame, "record", ["conv_id"]).orderBy("conv_id").collect()] == ["human", "model", "user"]
+    assert chat.read_back(chat.format_turns(chat.canonical_turns(frame.limit(0), "record", ["conv_id"]), ["conv_id", "part"]), "conv_id", ["part"]).count() == 0
+
+
 def test_chat_odd(spark):
     rows = [(1, 1, "assistant", None), (1, 0, "user", ""), (1, 0, "user", ""), (None, 0, "assistant", "x" * 100_000), (2, None, "odd\nrole\\", "a")]
     turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
@@ -334,6 +369,12 @@ def test_warc(spark):
     assert warc.audit(left, left).count() == 0
     lost = warc.audit(left, left.where(~F.col("page_id").eqNullSafe(9))).collect()
     assert {(r.page_id, r.found) for r in lost if r.page_id == 9} == {(9, None)}
+    fewer = warc.audit(left, left.withColumn("copies", F.when(F.col("page_id") == 3, 4).otherwise(F.col("copies")))).collect()
+    assert [(r.page_id, r.expected == r.found, r.expected_copies, r.found_copies) for r in fewer] == [(3, True, 6, 4)]
+    twice = pages.where("page_id < 20").withColumn("key", F.lit("0")).withColumn("junk", F.lit(1))
+    assert warc.audit(warc.warc_records(twice), warc.warc_records(twice)).count() == 0
+    long = warc.with_record_ids(spark.createDataFrame([(1, "u", LONG)], "page_id bigint, url string, html string"))
+    assert warc.warc_records(long).first().length > len(LONG)
     assert left.where("page_id = 3").first().copies == 6 and warc.audit(left.limit(0), right.limit(0)).count() == 0
 
 
@@ -367,6 +408,8 @@ def test_bpe_odd(spark, odd, empty, monkeypatch):
     rows = bpe.decode(encoded, vocabulary, keep=["doc_id", "text"]).collect()
     assert len(rows) == 11 and all(bytes(r.decoded) == (r.text or "").encode() for r in rows)
     assert bpe.encode(empty, vocabulary, pattern).count() == 0
+    broken = spark.range(1).select(F.col("id").alias("doc_id"), F.lit(b"a\xff b").cast("string").alias("text"))
+    assert bytes(bpe.encode(broken, vocabulary, pattern, decoded=True).first().decoded) == "a\ufffd b".encode()
 
 
 # 10
