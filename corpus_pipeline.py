@@ -1,8 +1,12 @@
 """Corpus cleaning: toxicity, near-duplicates, repeated passages, benchmark passages, tokens.
 
 Every stage but the last returns the columns of ``documents``. A text that loses
-passages may lose part of a character at a cut; such a part becomes U+FFFD. Columns besides those of ``documents`` are
-dropped at the start; null texts count as empty and stay.
+passages may lose part of a character at a cut; such a part becomes U+FFFD.
+
+Defined results, for every stage: columns besides those of ``documents`` are
+dropped; null texts count as empty and stay; ids may be null or repeat, and rows
+with one id are judged one by one; of repeated rows the near-duplicate stage
+keeps one; texts of any length are read whole; an empty table gives no rows.
 """
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -24,10 +28,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of texts with five-word shingles at least 0.8 similar."""
-    found = neardup.near_duplicates(docs, shingle=5, percent=80)
-    kept = found.where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+    """One document, of the smallest id, of each group of texts with five-word shingles at least 0.8 similar. Rows are told apart even if ids repeat or are null; documents without words stay."""
+    return neardup.near_duplicates(docs, shingle=5, percent=80, keep=COLUMNS).where("first").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
