@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import bounded_batches, fields, shared_dir, utf8
+from .common import bounded_batches, fields, shared_dir, trim, utf8
 
 CHUNK_BYTES = 16 << 20
 DOC, WORDS = 0, 1
@@ -111,6 +111,8 @@ def word_chunks(docs: DataFrame, keep: list[str], split, learn: Column | None =
                     slots, rows, seqs, size, n = Slots(), [], [], 0, n + 1
         if rows:
             yield from flush(n, slots, rows, seqs)
+        slots, rows, seqs = None, None, None
+        trim()
 
     flag = F.lit(False) if learn is None else F.coalesce(learn, F.lit(False))
     out = docs.select(*keep, flag.alias("learn"), utf8().alias("__text")).mapInArrow(run, schema)
@@ -128,6 +130,7 @@ def answer(chunks: DataFrame, make, extra: str = "") -> DataFrame:
         bucket = group["bucket"][0].as_py()
         messages = zip(group["chunk"].to_pylist(), group["words"].to_pylist(), group["counts"].to_pylist())
         rows = [(r[0], bucket, *r[1:]) for r in make()(messages)]
+        trim()
         return pa.Table.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*rows), arrow)], schema=arrow)
 
     return chunks.where(F.col("kind") == WORDS).select("bucket", "chunk", "words", "counts").groupBy("bucket").applyInArrow(run, schema)
@@ -143,6 +146,8 @@ def reassemble(chunks: DataFrame, answers: DataFrame, columns: list[str], make,
         got = dict(zip(right["bucket"].to_pylist(), right["answer"].to_pylist()))
         part = [left.select(take).filter(pa.array(kind == k)).to_pylist() for k in (DOC, WORDS)]
         rows = list(make()(*part, got))
+        part = got = None
+        trim()
         columns = zip(*rows) if rows else [[] for _ in arrow]
         return pa.Table.from_arrays([pa.array(list(c), t.type) for c, t in zip(columns, arrow)], schema=arrow)
 

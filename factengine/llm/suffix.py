@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .chunks import pack_ints, unpack_ints
-from .common import bounded_batches, fields, freeze, shared_dir, utf8
+from .common import bounded_batches, fields, freeze, shared_dir, trim, utf8
 
 WINDOW, GRAM = 50, 16
 HALF = (WINDOW - GRAM) // 2  # a window has so many bytes more than its anchor on one side at least
@@ -363,7 +363,9 @@ def _cogroup(chunks: DataFrame, mail: DataFrame, columns: list[str], f, schema:
     table = _rows(schema)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return table(list(f(left, _mail(right)))) if len(left) else table([])
+        rows = list(f(left, _mail(right))) if len(left) else []
+        trim()
+        return table(rows)
 
     return chunks.select("chunk", "row", "text", *columns).groupBy("chunk").cogroup(mail.groupBy("chunk")).applyInArrow(run, schema)
 
