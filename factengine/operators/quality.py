@@ -18,6 +18,12 @@ def filing_status(results: DataFrame, floor: DataFrame | None = None) -> DataFra
     return worst.select("filing_id", F.element_at(F.array(*map(F.lit, STATUSES)), F.col("rank") + 1).alias("status"))
 
 
+def outcome_status(outcomes: DataFrame) -> DataFrame:
+    """outcomes (filing_id, outcomes) + status: the worst of a filing's results, without a shuffle."""
+    rank = F.array_max(F.transform("outcomes", lambda x: status_rank(x["o"]["result"], x["severity"])))
+    return outcomes.withColumn("status", F.element_at(F.array(*map(F.lit, STATUSES)), F.coalesce(rank, F.lit(0)) + 1))
+
+
 def batch_status(results: DataFrame) -> DataFrame:
     """(filing_id, errors, warnings, infos, status) by severities."""
     n = lambda s: F.sum(F.when(s, 1).otherwise(0)).alias

@@ -1,7 +1,7 @@
 """The twenty quality rules, over all filings at once.
 
 Every rule is a Column over one wide row per filing, so a run is one grouped scan
-of the facts, two joins for the cross-period rules and one explode. ``service``
+of the facts, a narrow second one for the cross-period rules and one explode. ``service``
 follows the exact-decimal engine, ``batch`` the audit script; they differ where
 inputs are missing.
 
@@ -14,7 +14,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import scalars as S
-from .wide import first_values
 
 TOLERANCE = S.TOLERANCE
 DECIMAL = S.DECIMAL
@@ -236,36 +235,51 @@ def registry(stored: dict[str, int], overrides: dict[str, Rule] | None = None) -
     return {code: rules[code] for code in stored}
 
 
-def fact_flags(facts: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """The wide row's parts that come from single facts: first offending ids, sets and duplicate conflicts, per filing."""
+def _checked(facts: DataFrame, dictionary: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """Facts beside their concept's entry in the dictionary, and what each fact may offend against."""
     c = F.col
     d = dictionary.select(F.col("code").alias("canonical_concept"), F.upper(F.trim("period_type")).alias("dict_period"), S.listed(c("allowed_scope")).alias("dict_scopes"))
-    f = facts.join(F.broadcast(d), "canonical_concept", "left")  # the dictionary has a few dozen rows by its nature
     start, end = c("period_start"), c("period_end")
-    lasting = (c("dict_period") == "DURATION") & (start.isNull() | end.isNull() | (F.date_format(start, "MM-dd") != "01-01") | (start > end))
-    bad_dates = lasting | ((c("dict_period") == "INSTANT") & end.isNull())
+    lasting = (c("dict_period") == "DURATION") & (start.isNull() | end.isNull() | (F.month(start) != 1) | (F.dayofmonth(start) != 1) | (start > end))
     own = F.when(start.isNotNull(), "DURATION").otherwise("INSTANT")
-    eps = c("canonical_concept").startswith("eps_") & ~F.lower(F.coalesce("currency", F.lit(""))).contains("pershares") & ~F.lower(F.coalesce("unit_ref", "currency", F.lit(""))).contains("pershares")
-    first = lambda cond: F.min(F.when(cond, c("normalized_fact_id")))
-    return f.groupBy("filing_id").agg(
-        first(bad_dates).alias("bad_dates"),
-        first(c("dict_period") != own).alias("bad_period_type"),
-        first(c("dimensioned")).alias("bad_dimension"),
-        first(eps).alias("bad_unit"),
-        first((F.size("dict_scopes") > 0) & ~F.array_contains("dict_scopes", F.coalesce("scope", F.lit("")))).alias("bad_scope"),
-        first(c("is_nil") & c("value").isNotNull()).alias("bad_nil"),
-        F.array_sort(F.collect_set(F.when(c("currency") != "", F.upper("currency")))).alias("currencies"),
-        F.array_sort(F.collect_set(F.when(c("scope") != "", c("scope")))).alias("scopes"),
-        F.array_sort(F.collect_list(F.struct("normalized_fact_id", "canonical_concept"))).alias("owned"),
-    )
+    per_share = lambda *cs: F.lower(F.coalesce(*cs, F.lit(""))).contains("pershares")
+    flags = {
+        "bad_dates": lasting | ((c("dict_period") == "INSTANT") & end.isNull()),
+        "bad_period_type": c("dict_period") != own,
+        "bad_dimension": c("dimensioned"),
+        "bad_unit": c("canonical_concept").startswith("eps_") & ~per_share("currency") & ~per_share("unit_ref", "currency"),
+        "bad_scope": (F.size("dict_scopes") > 0) & ~F.array_contains("dict_scopes", F.coalesce("scope", F.lit(""))),
+        "bad_nil": c("is_nil") & c("value").isNotNull(),
+    }
+    return facts.join(d, "canonical_concept", "left"), flags
+
+
+def filing_facts(facts: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(filing_id, owned): a filing's facts in id order with what each offends against; the one grouped pass of a rule run."""
+    f, flags = _checked(facts, dictionary)
+    same = F.concat_ws("\x1f", *(F.coalesce(c, F.lit("\x00")) for c in ("source_namespace", "source_concept", "context_ref", "unit_ref")))
+    fact = F.struct("normalized_fact_id", "canonical_concept", "value", same.alias("same"), F.upper("currency").alias("currency"), "scope", *(v.alias(k) for k, v in flags.items()))
+    return f.groupBy("filing_id").agg(F.array_sort(F.collect_list(fact)).alias("owned"))
+
+
+def _by_concept(facts: str) -> Column:
+    """A filing's facts with a value by concept and id."""
+    return F.array_sort(F.transform(F.filter(facts, lambda x: x["value"].isNotNull()), lambda x: F.struct(x["canonical_concept"].alias("c"), x["normalized_fact_id"].alias("i"), x["value"].alias("v"))))
+
+
+def _last(by: str) -> Column:
+    """The last fact of each concept in a column of _by_concept; a column, as it is read once for each fact."""
+    return F.filter(by, lambda x, i: ~F.get(by, i + 1)["c"].eqNullSafe(x["c"]))
 
 
 def conflicts(facts: DataFrame) -> DataFrame:
     """(filing_id, conflicts, conflict_ids): groups of one namespace, concept, context and unit with several values, null being one."""
-    key = ["filing_id", "source_namespace", "source_concept", "context_ref", "unit_ref"]
-    values = F.count_distinct(F.coalesce(F.col("value").cast("string"), F.lit("null")))
-    groups = facts.groupBy(*key).agg(values.alias("n"), F.array_sort(F.collect_list("normalized_fact_id")).alias("ids")).where(F.col("n") > 1)
-    return groups.groupBy("filing_id").agg(F.count("*").alias("conflicts"), F.array_sort(F.flatten(F.collect_list("ids"))).alias("conflict_ids"))
+    same = F.struct(*(F.coalesce(c, F.lit("\x00")).alias(c) for c in ("source_namespace", "source_concept", "context_ref", "unit_ref"))).alias("same")
+    rows = facts.select("filing_id", "normalized_fact_id", "value", same)
+    several = (F.min("value") != F.max("value")) | ((F.count("value") > 0) & (F.count("value") < F.count("*")))
+    groups = rows.groupBy("filing_id", "same").agg(several.alias("several")).where("several").select("filing_id", "same")
+    ids = rows.join(groups, ["filing_id", "same"], "left_semi").groupBy("filing_id").agg(F.array_sort(F.collect_list("normalized_fact_id")).alias("conflict_ids"))
+    return groups.groupBy("filing_id").agg(F.count("*").alias("conflicts")).join(ids, "filing_id")
 
 
 def restatements(facts: DataFrame) -> DataFrame:
@@ -287,37 +301,68 @@ def adjacent(filings: DataFrame) -> DataFrame:
 
 
 def wide_rows(filings: DataFrame, facts: DataFrame, dictionary: DataFrame, issues: DataFrame | None = None) -> DataFrame:
-    """One row per filing with everything the rules read."""
-    out = filings.select("filing_id", "entry_point", "presentation_currency", F.col("supersedes_filing_id").alias("superseded"))
-    out = out.join(first_values(facts, CONCEPTS), "filing_id", "left").join(fact_flags(facts, dictionary), "filing_id", "left").join(conflicts(facts), "filing_id", "left")
-    known = filings.select(F.col("filing_id").alias("superseded"), F.lit(True).alias("superseded_known"))
-    out = out.join(known, "superseded", "left").withColumn("superseded_known", F.coalesce("superseded_known", F.lit(False)))
-
-    changed = restatements(facts).select("filing_id", "canonical_concept")
-    changed = facts.join(changed, ["filing_id", "canonical_concept"], "left_semi").groupBy("filing_id").agg(F.array_sort(F.collect_list("normalized_fact_id")).alias("changed_ids"))
-    near = adjacent(filings)
-    have = facts.where(F.col("value").isNotNull())
-    theirs = have.where(F.col("canonical_concept").isin(COMPARED)).select(F.col("filing_id").alias("prior_filing"), "canonical_concept").distinct()
-    overlap = have.join(near.where(F.col("prior_filing").isNotNull()), "filing_id").join(theirs, ["prior_filing", "canonical_concept"], "left_semi")
-    overlap = overlap.groupBy("filing_id").agg(F.array_sort(F.collect_set("normalized_fact_id")).alias("overlap_ids"))
-    out = out.join(changed, "filing_id", "left").join(near, "filing_id", "left").join(overlap, "filing_id", "left")
+    """One row per filing with everything the rules read.
+
+    The facts are grouped by filing once; what the rules need is taken from the
+    sorted array, in time linear in its length. A second narrow pass gives each
+    filing's last values, which the cross-period rules join by the other filing's id.
+    """
+    head = filings.select("filing_id", "entry_point", "presentation_currency", F.nullif(F.trim("supersedes_filing_id"), F.lit("")).alias("superseded"))
+    valued = F.collect_list(F.struct("normalized_fact_id", "canonical_concept", "value"))
+    history = facts.where(F.col("value").isNotNull()).groupBy("filing_id").agg(valued.alias("valued")).select("filing_id", _by_concept("valued").alias("by")).select("filing_id", _last("by").alias("last"))
+    history = filings.select("filing_id").join(history, "filing_id", "left")
+    old = head.where(F.col("superseded").isNotNull()).select("filing_id", "superseded").join(history.select(F.col("filing_id").alias("superseded"), F.map_from_arrays("last.c", "last.v").alias("old")), "superseded").select("filing_id", "old", F.lit(True).alias("superseded_known"))
+    theirs = F.filter(F.array(*map(F.lit, COMPARED)), lambda c: F.array_contains("last.c", c))
+    near = adjacent(filings).join(history.select(F.col("filing_id").alias("prior_filing"), theirs.alias("theirs")), "prior_filing", "left")
+    out = head.join(filing_facts(facts, dictionary), "filing_id", "left").join(old, "filing_id", "left").join(near, "filing_id", "left")
     if issues is not None:
         zero = issues.where(F.lower("reason").contains("zero")).select("filing_id", F.lit(True).alias("zero_issue")).distinct()
         out = out.join(zero, "filing_id", "left")
     else:
         out = out.withColumn("zero_issue", F.lit(False))
-    empty = F.array().cast("array<string>")
-    return out.withColumns({"zero_issue": F.coalesce("zero_issue", F.lit(False)), "conflicts": F.coalesce("conflicts", F.lit(0)), **{c: F.coalesce(c, empty) for c in ("currencies", "scopes", "changed_ids", "overlap_ids", "conflict_ids")}})
+
+    named = lambda cond: F.transform(F.filter("owned", cond), lambda x: x["normalized_fact_id"])
+    found = lambda field: F.array_sort(F.array_distinct(F.transform(F.filter("owned", lambda x: x[field] != ""), lambda x: x[field])))
+    empty = lambda c, kind="array<string>": F.coalesce(c, F.array().cast(kind))
+    by = F.array_sort(F.transform("owned", lambda x: F.struct(x["same"].alias("s"), x["value"].alias("v"))))
+    apart = F.zip_with(F.slice("by", 1, F.size("by") - 1), F.slice("by", 2, F.size("by") - 1), lambda x, y: F.when((x["s"] == y["s"]) & ~x["v"].eqNullSafe(y["v"]), x["s"]))
+    out = out.withColumns({"by": by, "mine": F.when(F.col("old").isNotNull(), _by_concept("owned"))})
+    restated = F.filter(_last("mine"), lambda x: F.try_element_at("old", x["c"]) != x["v"])
+    out = out.withColumn("mine", F.when(F.col("old").isNotNull(), F.transform(restated, lambda x: x["c"])))
+    out = out.withColumn("apart", empty(F.when(F.size("by") > 1, F.array_distinct(F.array_compact(apart)))))
+    value = lambda c: F.get(F.filter("owned", lambda x: (x["canonical_concept"] == c) & x["value"].isNotNull()), F.lit(0))["value"]
+    first = lambda flag: F.get(named(lambda x: x[flag]), F.lit(0))
+    return out.withColumns({
+        **{c: value(c) for c in CONCEPTS},
+        **{flag: first(flag) for flag in ("bad_dates", "bad_period_type", "bad_dimension", "bad_unit", "bad_scope", "bad_nil")},
+        "currencies": empty(found("currency")), "scopes": empty(found("scope")),
+        "conflicts": F.size("apart"), "conflict_ids": empty(named(lambda x: F.array_contains("apart", x["same"]))),
+        "changed_ids": empty(named(lambda x: F.array_contains("mine", x["canonical_concept"]))),
+        "overlap_ids": empty(named(lambda x: x["value"].isNotNull() & F.array_contains("theirs", x["canonical_concept"]))),
+        "superseded_known": F.coalesce("superseded_known", F.lit(False)), "zero_issue": F.coalesce("zero_issue", F.lit(False)),
+    }).drop("by", "mine", "apart", "old", "theirs")
+
+
+def outcomes(wide: DataFrame, rules: dict[str, Rule] | None = None, mode: str = "service", severities: dict[str, str] | None = None) -> DataFrame:
+    """(filing_id, outcomes): all results of a filing in one array, in rule order; a configured severity replaces any but INFO."""
+    each = [F.when(rule.applies(), F.struct(F.lit(code).alias("rule_code"), F.lit(rule.version).cast("bigint").alias("rule_version"), rule.evaluate(mode).alias("o"))) for code, rule in (rules or RULES).items()]
+    found = wide.select("filing_id", F.array_compact(F.array(*each)).alias("outcomes"))
+    named = F.create_map(*(F.lit(v) for pair in severities.items() for v in pair)) if severities else None
+
+    def own(x: Column) -> Column:
+        said = x["o"]["severity"]
+        return said if named is None else F.when(said == "INFO", said).otherwise(F.coalesce(F.try_element_at(named, x["rule_code"]), said))
+
+    return found.withColumn("outcomes", F.transform("outcomes", lambda x: F.struct(x["rule_code"].alias("rule_code"), x["rule_version"].alias("rule_version"), x["o"].alias("o"), own(x).alias("severity"))))
+
+
+def results(outcomes: DataFrame, *columns: str) -> DataFrame:
+    """(filing_id, *columns, rule_code, rule_version, result, severity, message, expected, actual, evidence): a row for each result."""
+    # explode_outer, as for explode Spark filters by the array first and would evaluate all rules again
+    rows = outcomes.select("filing_id", *columns, F.explode_outer("outcomes").alias("r")).where(F.col("r").isNotNull())
+    return rows.select("filing_id", *columns, "r.rule_code", "r.rule_version", "r.o.result", "r.severity", "r.o.message", "r.o.expected", "r.o.actual", "r.o.evidence")
 
 
 def evaluate(wide: DataFrame, rules: dict[str, Rule] | None = None, mode: str = "service", severities: dict[str, str] | None = None) -> DataFrame:
-    """(filing_id, rule_code, rule_version, result, severity, message, expected, actual, evidence); a configured severity replaces any but INFO."""
-    each = []
-    for code, rule in (rules or RULES).items():
-        found = rule.evaluate(mode)
-        shown = found["severity"]
-        if severities and code in severities:
-            shown = F.when(shown == "INFO", shown).otherwise(F.lit(severities[code]))
-        each.append(F.when(rule.applies(), F.struct(F.lit(code).alias("rule_code"), F.lit(rule.version).cast("bigint").alias("rule_version"), found.alias("o"), shown.alias("severity"))))
-    rows = wide.select("filing_id", F.explode(F.array_compact(F.array(*each))).alias("r"))
-    return rows.select("filing_id", "r.rule_code", "r.rule_version", "r.o.result", "r.severity", "r.o.message", "r.o.expected", "r.o.actual", "r.o.evidence")
+    """(filing_id, rule_code, rule_version, result, severity, message, expected, actual, evidence) of every rule and filing."""
+    return results(outcomes(wide, rules, mode, severities))

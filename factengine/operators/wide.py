@@ -1,12 +1,13 @@
-"""Facts of a filing side by side: one grouped pass of conditional aggregates, no pivot scan for the concept list."""
+"""Facts of a filing side by side: one row per filing and concept first, then conditional aggregates, no pivot scan for the concept list."""
 
 from pyspark.sql import DataFrame, functions as F
 
 
 def first_values(facts: DataFrame, concepts: list[str], key: str = "filing_id", order: str = "normalized_fact_id") -> DataFrame:
     """key + a column per concept: its first value that is not null, in fact order."""
-    value = lambda c: F.min_by("value", F.when((F.col("canonical_concept") == c) & F.col("value").isNotNull(), F.col(order)))
-    return facts.groupBy(key).agg(*[value(c).alias(c) for c in concepts])
+    named = facts.withColumn("c", F.when(F.col("value").isNotNull() & F.col("canonical_concept").isin(concepts), F.col("canonical_concept")))
+    first = named.groupBy(key, "c").agg(F.min_by("value", order).alias("v"))
+    return first.groupBy(key).agg(*[F.max(F.when(F.col("c") == c, F.col("v"))).alias(c) for c in concepts])
 
 
 def last_values(facts: DataFrame, concepts: list[str], key: str = "filing_id", order: str = "normalized_fact_id") -> DataFrame:

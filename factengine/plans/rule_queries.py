@@ -108,11 +108,8 @@ def rule_sql(code: str) -> str:
         from (select filing_id, {result} as r, {expected} as e, {actual} as a, {evidence} as ev from v_wide)"""
 
 
-def results(t):
-    return R.evaluate(t.v_wide)
-
-
-VIEWS["v_results"] = (results, " union all ".join(map(rule_sql, SQL)))
+VIEWS["v_judged"] = (lambda t: Q.outcome_status(R.outcomes(t.v_wide)), "")
+VIEWS["v_results"] = (lambda t: R.results(t.v_judged), " union all ".join(map(rule_sql, SQL)))
 
 
 def shown(results):
@@ -190,7 +187,7 @@ def a03(t):
 
 
 STATUS = "case max(case when result = 'FAIL' and severity = 'ERROR' then 2 when result in ('FAIL', 'REVIEW_REQUIRED') then 1 else 0 end) when 2 then 'FAILED' when 1 then 'REVIEW_REQUIRED' else 'VERIFIED' end"
-VIEWS["v_status"] = (lambda t: Q.filing_status(t.v_results), f"select filing_id, {STATUS} as status from v_results group by filing_id")
+VIEWS["v_status"] = (lambda t: t.v_judged.select("filing_id", "status"), f"select filing_id, {STATUS} as status from v_results group by filing_id")
 
 
 @query("a04_filing_status", """
@@ -234,7 +231,7 @@ def a10(t):
 
 @query("c04_validation_run", "select r.filing_id, rule_code, result, severity, status from v_results r join v_status s on s.filing_id = r.filing_id")
 def c04(t):
-    return t.v_results.join(t.v_status, "filing_id").select("filing_id", "rule_code", "result", "severity", "status")
+    return R.results(t.v_judged, "status").select("filing_id", "rule_code", "result", "severity", "status")
 
 
 @query("j09_prior_year", """
