@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalars as S
+from ..functions.ids import result_id
 
 CONTRACT, CONTRACT_VERSION = "financial-data.snapshot", "1.0"
 
@@ -16,14 +17,24 @@ def eligibility(status: Column) -> Column:
     return F.when(status == "VERIFIED", None).when(status == "REVIEW_REQUIRED", "Review is required before publishing.").when(status == "FAILED", "Validation failed.").otherwise("Validation is pending.")
 
 
+def _disclosed() -> Column:
+    return F.col("severity").isin("INFO", "WARN") & (F.col("result") != "PASS")
+
+
+def _of_result() -> Column:
+    return F.struct(F.concat(F.lit("VALIDATION_"), "rule_code").alias("code"), F.array_sort(F.array_distinct("evidence")).alias("references"), "severity", "message")
+
+
+def _of_fact() -> Column:
+    text = F.concat(F.lit("A published fact is "), F.lower("availability"), F.lit("."))
+    return F.struct(F.concat(F.lit("AVAILABILITY_"), "availability").alias("code"), F.array("normalized_fact_id").alias("references"), F.lit("WARN").alias("severity"), text.alias("message"))
+
+
 def limitations(results: DataFrame, facts: DataFrame) -> DataFrame:
     """(filing_id, items): disclosures from results that did not pass and facts without a value, by code and references."""
-    shown = results.where(F.col("severity").isin("INFO", "WARN") & (F.col("result") != "PASS"))
-    from_results = shown.select("filing_id", F.concat(F.lit("VALIDATION_"), "rule_code").alias("code"), "severity", "message", F.array_sort(F.array_distinct("evidence")).alias("references"))
-    missing = facts.where(F.col("availability") != "AVAILABLE")
-    from_facts = missing.select("filing_id", F.concat(F.lit("AVAILABILITY_"), "availability").alias("code"), F.lit("WARN").alias("severity"), F.concat(F.lit("A published fact is "), F.lower("availability"), F.lit(".")).alias("message"), F.array("normalized_fact_id").alias("references"))
-    item = F.struct("code", "references", "severity", "message")
-    return from_results.unionByName(from_facts).groupBy("filing_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    from_results = results.where(_disclosed()).select("filing_id", _of_result().alias("item"))
+    from_facts = facts.where(F.col("availability") != "AVAILABLE").select("filing_id", _of_fact().alias("item"))
+    return from_results.unionAll(from_facts).groupBy("filing_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
 
 
 def unmapped_concepts(outcomes: DataFrame) -> DataFrame:
@@ -32,22 +43,29 @@ def unmapped_concepts(outcomes: DataFrame) -> DataFrame:
     return outcomes.where(F.col("status") != "NORMALIZED").groupBy("filing_id").agg(F.array_sort(F.collect_set(item)).alias("unmapped"))
 
 
-def payloads(filings: DataFrame, facts: DataFrame, results: DataFrame, versions: DataFrame) -> DataFrame:
-    """One nested row per filing with facts and results: filing, quality, source, facts in canonical order, lineage, limitations."""
+def payloads(filings: DataFrame, facts: DataFrame, results: DataFrame, versions: DataFrame, rule_set: Column | str = "rules") -> DataFrame:
+    """One nested row per filing with facts and results: filing, quality, source, facts in canonical order, lineage, limitations.
+
+    Facts and results are grouped by filing once each. ``rule_set`` is the version of the rule set that gave the results.
+    """
     facts = facts.withColumn("availability", S.availability(F.col("is_nil"), F.col("value")))
     key = F.struct("canonical_concept", F.coalesce(F.col("period_end").cast("string"), F.lit("")).alias("k_end"), F.coalesce("scope", F.lit("")).alias("k_scope"), "normalized_fact_id", "raw_fact_id", F.col("value").cast("string").alias("value"), "availability", "currency", "scope", F.col("period_start").cast("string").alias("period_start"), F.col("period_end").cast("string").alias("period_end"), "mapping_rule_id", "mapping_rule_version")
-    listed = facts.groupBy("filing_id").agg(F.array_sort(F.collect_list(key)).alias("facts"))
-    listed = listed.withColumn("facts", F.transform("facts", lambda f: f.dropFields("k_end", "k_scope")))
-    codes = results.groupBy("filing_id").agg(F.array_sort(F.collect_set("rule_code")).alias("result_codes"))
-    out = filings.join(listed, "filing_id").join(lineage(facts), "filing_id").join(codes, "filing_id").join(versions, "filing_id").join(limitations(results, facts), "filing_id", "left")
-    empty = F.array().cast(limitations(results, facts).schema["items"].dataType)
+    ids = lambda c: F.array_sort(F.collect_set(c))
+    listed = facts.groupBy("filing_id").agg(
+        F.array_sort(F.collect_list(key)).alias("facts"), F.collect_list(F.when(F.col("availability") != "AVAILABLE", _of_fact())).alias("of_facts"),
+        ids("raw_fact_id").alias("raw_fact_ids"), ids("normalized_fact_id").alias("normalized_fact_ids"), ids(F.col("mapping_rule_version").cast("string")).alias("mapping_versions"),
+    ).withColumn("facts", F.transform("facts", lambda f: f.dropFields("k_end", "k_scope")))
+    result = result_id("filing_id", "rule_code", F.col("rule_version").cast("string"), "result")
+    judged = results.groupBy("filing_id").agg(ids(result).alias("result_ids"), F.collect_list(F.when(_disclosed(), _of_result())).alias("of_results"))
+    out = filings.join(listed, "filing_id").join(judged, "filing_id").join(versions, "filing_id")
+    version = F.lit(rule_set) if isinstance(rule_set, str) else rule_set
     return out.select(
         "filing_id", "quality_status", "published_at",
         F.struct("filing_id", "issuer_code", "fiscal_year", "fiscal_period", "revision_number", "supersedes_filing_id", F.col("period_end").cast("string").alias("period_end")).alias("filing"),
-        F.struct(F.col("quality_status").alias("status"), F.col("dataset_version").alias("normalized_dataset_version"), F.lit("rules").alias("validation_rule_set_version"), F.col("result_codes").alias("validation_result_ids")).alias("quality"),
+        F.struct(F.col("quality_status").alias("status"), F.col("dataset_version").alias("normalized_dataset_version"), version.alias("validation_rule_set_version"), F.col("result_ids").alias("validation_result_ids")).alias("quality"),
         F.struct("source_url", "source_hash", F.col("storage_path").alias("storage_reference")).alias("source"),
-        "facts", F.struct("raw_fact_ids", "normalized_fact_ids", F.col("result_codes").alias("validation_result_ids"), "mapping_versions", F.lit("v1").alias("normalization_version")).alias("lineage"),
-        F.coalesce("items", empty).alias("limitations"),
+        "facts", F.struct("raw_fact_ids", "normalized_fact_ids", F.col("result_ids").alias("validation_result_ids"), "mapping_versions", F.lit("v1").alias("normalization_version")).alias("lineage"),
+        F.array_sort(F.concat("of_results", "of_facts")).alias("limitations"),
     )
 
 

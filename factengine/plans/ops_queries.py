@@ -378,7 +378,14 @@ def s14(t):
 
 
 VIEWS["v_versions"] = (lambda t: V.dataset_versions(t.v_norm), "select filing_id, 'normalized_' || substr(sha256(string_agg(concat_ws(':', normalized_fact_id, raw_fact_id, mapping_rule_id, mapping_rule_version, coalesce(cast(value as varchar), ''), 'v1'), '|' order by normalized_fact_id)), 1, 32) as dataset_version from v_norm group by filing_id")
-VIEWS["v_payloads"] = (lambda t: P.payloads(t.v_filings, t.v_norm, t.v_results, t.v_versions), "select filing_id from v_norm")
+
+
+def _rule_set(t) -> str:
+    """Version of the enabled rules: one short row, whatever the number of filings."""
+    return V.rule_set_version(t.v_rules).first()[0]
+
+
+VIEWS["v_payloads"] = (lambda t: P.payloads(t.v_filings, t.v_norm, t.v_results, t.v_versions, _rule_set(t)), "select filing_id from v_norm")
 
 
 @query("c06_eligibility", "select filing_id, case status when 'VERIFIED' then null when 'REVIEW_REQUIRED' then 'Review is required before publishing.' else 'Validation failed.' end as refusal from v_status")
