@@ -53,19 +53,19 @@ def archive_digits(n: int) -> int:
     return digits
 
 
-def tree(placed: DataFrame, levels: int) -> DataFrame:
-    """(level, archive, node, hash, start, end) from leaves (level 0) to roots; a node covers the bytes [start, end)."""
+def tree(placed: DataFrame, levels: int) -> list[DataFrame]:
+    """(level, archive, node, hash, start, end) of each level, from leaves (level 0) to roots; a node covers the bytes [start, end)."""
     leaf = F.sha2(F.concat_ws(":", "offset", "length", "digest", "copies"), 256)
     level = placed.select(F.lit(0).alias("level"), "archive", F.col("position").alias("node"), leaf.alias("hash"), F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("end"))
     level = freeze(level, "warc_level")
-    out = level
+    out = [level]
     for k in range(1, levels + 1):
         children = F.array_sort(F.collect_list(F.struct("node", "hash")))  # at most FANOUT
         level = level.groupBy("archive", F.floor(F.col("node") / FANOUT).alias("parent")).agg(
             F.sha2(F.array_join(F.transform(children, lambda c: c["hash"]), ""), 256).alias("hash"), F.min("start").alias("start"), F.max("end").alias("end")
         )
         level = freeze(level.select(F.lit(k).alias("level"), "archive", F.col("parent").alias("node"), "hash", "start", "end"), "warc_level")
-        out = out.unionAll(level)
+        out.append(level)
     return out
 
 
@@ -81,12 +81,13 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
     ta, tb = (tree(x, levels) for x in (a, b))
     wrong = None
     for k in range(levels, -1, -1):
-        x = ta.where(F.col("level") == k).select("archive", "node", F.col("hash").alias("hash_a"))
-        y = tb.where(F.col("level") == k).select("archive", "node", F.col("hash").alias("hash_b"))
+        x = ta[k].select("archive", "node", F.col("hash").alias("hash_a"))
+        y = tb[k].select("archive", "node", F.col("hash").alias("hash_b"))
         if wrong is not None:  # only children of mismatching nodes
             parents = wrong.select("archive", F.col("node").alias("parent"))
             x, y = (t.withColumn("parent", F.floor(F.col("node") / FANOUT)).join(parents, ["archive", "parent"], "left_semi").drop("parent") for t in (x, y))
-        wrong = x.join(y, ["archive", "node"], "full").where(~F.col("hash_a").eqNullSafe(F.col("hash_b"))).select("archive", "node")
+        differ = x.join(y, ["archive", "node"], "full").where(~F.col("hash_a").eqNullSafe(F.col("hash_b")))
+        wrong = freeze(differ.select("archive", "node"), "warc_mismatch")
     leaves = wrong.select("archive", F.col("node").alias("position"))
     nth = F.row_number().over(Window.partitionBy("archive", "key").orderBy("digest", "page_id", "url")).alias("nth")
     sides = (x.join(leaves, ["archive", "position"], "left_semi").select("page_id", "url", "key", "archive", "position", "offset", "length", "digest", "copies", nth) for x in (a, b))
