@@ -5,18 +5,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import ids, scalars as S
 from .latest import at_latest_version
 
-REASONS = (
-    "No approved mapping exists for this concept.",
-    "A mapping exists, but none is approved.",
-    "The fact's scope does not match the mapping.",
-    "The fact's period type does not match the mapping.",
-    "The fact's context does not match the mapping.",
-    "Several approved mappings apply.",
-    "The mapping names a missing canonical concept.",
-    "The number is invalid.",
-    "The sign convention is unsupported.",
-    "An exception rule gave an invalid number.",
-)
+#: Codes of why a fact is not normalized, in the order in which they are tested.
+REASONS = ("NO_MAPPING", "NOT_APPROVED", "SCOPE_DIFFERS", "PERIOD_DIFFERS", "CONTEXT_DIFFERS", "AMBIGUOUS", "UNKNOWN_CONCEPT", "BAD_NUMBER", "BAD_SIGN_CONVENTION", "BAD_EXCEPTION_VALUE")
 
 
 def current_mappings(mappings: DataFrame) -> DataFrame:
