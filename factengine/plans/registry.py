@@ -10,8 +10,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.sinks import stored
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -33,17 +31,6 @@ class Tables:
         return found
 
 
-    def stored(self, name: str) -> DataFrame:
-        """A view by filing that is read several times: written once, bucketed by filing, for this query."""
-        done = self.__dict__.setdefault("_stored", {})
-        if name not in done:
-            size = int(self.lineitem._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-            most = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            done[name] = stored(getattr(self, name), name, "filing_id", min(most, max(8, size >> 25)))
-            setattr(self, name, done[name])
-        return done[name]
-
-
 def with_views(sql: str) -> str:
     from .projection import VIEWS
 

@@ -27,14 +27,6 @@ def append_new(rows: DataFrame, path: str, keys: list[str], partition_by: list[s
     return spark.read.parquet(path).count() - before
 
 
-def stored(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-    """df as a table bucketed by key in the shared folder: grouping and joining by key then move no rows, however often the table is read."""
-    table = f"{name}_{uuid.uuid4().hex}"
-    out = df.repartition(buckets, key).write.format("parquet").option("path", scratch(df.sparkSession, name))
-    out.bucketBy(buckets, key).saveAsTable(table)
-    return df.sparkSession.table(table)
-
-
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
