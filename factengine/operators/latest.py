@@ -30,3 +30,9 @@ def keyset_page(df: DataFrame, time: str, key: str, after: tuple | None = None,
     some = df.orderBy(F.desc(time), F.desc(key)).limit(limit + 1)  # one more row tells whether a page follows
     n = F.row_number().over(W.orderBy(F.desc(time), F.desc(key)))
     return some.withColumn("_n", n).withColumn("has_more", F.max("_n").over(W.partitionBy()) > limit).where(F.col("_n") <= limit).drop("_n")
+
+
+def page_with_total(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
+    """A page with the number of all rows beside each of its rows."""
+    total = df.agg(F.count("*")).scalar()
+    return page(df, order, number, size).withColumn("total", total)

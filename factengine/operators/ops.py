@@ -90,3 +90,28 @@ def prerequisites(requests: DataFrame, filings: DataFrame, artifacts: DataFrame,
 def listing(filings: DataFrame, runs: DataFrame) -> DataFrame:
     """Filings with their last activity; sorts put filings without one last."""
     return filings.join(last_activity(runs), "filing_id", "left")
+
+
+ACTIVE = tuple(ALIASES)
+
+
+def release_summary(filings: DataFrame, runs: DataFrame) -> DataFrame:
+    """One row of counters over filings (processing_stage, quality_status): all, in an active stage, by status; and failed executions."""
+    n = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).cast("bigint")
+    status = F.coalesce("quality_status", F.lit("PENDING"))
+    failed = runs.where(F.col("status") == "FAILED").agg(F.count("*")).scalar()
+    out = filings.agg(
+        F.count("*").alias("total"), n(F.col("processing_stage").isin(*ACTIVE)).alias("active"), n(status == "FAILED").alias("failed"), n(status == "VERIFIED").alias("verified"),
+        n(status == "REVIEW_REQUIRED").alias("review"), n(status == "PENDING").alias("pending"),
+    )
+    return out.withColumn("failed_executions", failed)
+
+
+def detail(filings: DataFrame, runs: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """filings with run_id, attempts (newest first), error (the newest message) and artifacts of each; null and empty where there is none."""
+    now = runs.join(latest_runs(runs), ["filing_id", "run_id"], "left_semi")
+    attempt = F.struct("job_run_id", canonical_stage(F.col("stage")).alias("stage"), "status", "attempt")
+    failed = (F.col("status") == "FAILED") & F.col("error_message").isNotNull()
+    of_run = now.groupBy("filing_id").agg(F.max("run_id").alias("run_id"), F.sort_array(F.collect_list(attempt), asc=False).alias("attempts"), F.max_by("error_message", F.when(failed, F.col("job_run_id"))).alias("error"))
+    files = artifacts.groupBy("filing_id").agg(F.array_sort(F.collect_list(F.struct("source_hash", "artifact_type", "size_bytes"))).alias("artifacts"))
+    return filings.join(of_run, "filing_id", "left").join(files, "filing_id", "left")

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalars as S
-from ..functions.ids import result_id
+from ..functions.ids import result_id, snapshot_id
 
 CONTRACT, CONTRACT_VERSION = "financial-data.snapshot", "1.0"
 
@@ -93,3 +93,68 @@ def payload_violations(payload: DataFrame, allow_unavailable: bool = False) -> D
     ]
     found = F.array_distinct(F.array_compact(F.array(*[F.when(F.coalesce(cond, F.lit(True)), text) for cond, text in checks])))
     return payload.select("filing_id", found.alias("violations"))
+
+
+#: Codes of why a snapshot cannot become a published document, in test order (fixed values of the interface).
+CODES = (
+    "MISSING_SNAPSHOT_ID", "NON_VERIFIED_SNAPSHOT", "MISSING_SOURCE_PROVENANCE", "UNSAFE_STORAGE_REFERENCE", "INVALID_DECIMAL_STRING",
+    "MISSING_FACT_LINEAGE", "INVALID_LIMITATION", "MALFORMED_SNAPSHOT", "UNMAPPED_CANONICAL_FACT",
+)
+LINEAGE = ("raw_fact_ids", "normalized_fact_ids", "validation_result_ids", "mapping_versions")
+
+
+def snapshots(payloads: DataFrame, unmapped: DataFrame, contract: str = CONTRACT, version: str = CONTRACT_VERSION) -> DataFrame:
+    """payloads + snapshot_id, contract, contract_version and the filing's unmapped concepts (empty where it has none)."""
+    own = F.coalesce("unmapped", F.array().cast("array<struct<source_concept:string,source_reference:string,reason:string>>"))
+    out = payloads.join(unmapped, "filing_id", "left").withColumn("unmapped", own)
+    named = snapshot_id("filing_id", "quality.normalized_dataset_version", "quality.validation_rule_set_version", F.lit(contract), F.lit(version))
+    return out.withColumns({"snapshot_id": named, "contract": F.lit(contract), "contract_version": F.lit(version)})
+
+
+def contract_violations(snapshot: DataFrame, contract: str = CONTRACT, version: str = CONTRACT_VERSION) -> DataFrame:
+    """(filing_id, violations) of whole snapshots: what payload_violations finds, and identity, lineage lists and unmapped concepts."""
+    c = F.col
+    blank = lambda x: F.trim(F.coalesce(x, F.lit(""))) == ""
+    checks = [
+        (~c("contract").eqNullSafe(F.lit(contract)), "contract identity"), (~c("contract_version").eqNullSafe(F.lit(version)), "contract version"),
+        *((F.coalesce(F.size(c(f"lineage.{k}")), F.lit(0)) < 1, f"lineage lacks {k}") for k in LINEAGE), (blank(c("lineage.normalization_version")), "lineage lacks normalization_version"),
+        (F.exists("unmapped", lambda u: blank(u["source_concept"]) | blank(u["reason"])), "unmapped concept is malformed"),
+    ]
+    found = F.array_compact(F.array(*[F.when(F.coalesce(cond, F.lit(True)), text) for cond, text in checks]))
+    inner = payload_violations(snapshot).select("filing_id", F.col("violations").alias("inner"))
+    return snapshot.select("filing_id", found.alias("outer")).join(inner, "filing_id").select("filing_id", F.array_distinct(F.concat("outer", "inner")).alias("violations"))
+
+
+def document_code(contract: str = CONTRACT, version: str = CONTRACT_VERSION) -> Column:
+    """The first code that forbids a snapshot's document; null for a good one."""
+    c = F.col
+    blank = lambda x: F.trim(F.coalesce(x, F.lit(""))) == ""
+    none = lambda k: F.coalesce(F.size(c(f"lineage.{k}")), F.lit(0)) < 1
+    item = lambda i: i["code"].isNull() | i["message"].isNull() | i["references"].isNull() | ~F.coalesce(i["severity"].isin("INFO", "WARN"), F.lit(False))
+    doubled = lambda k: F.size(F.array_distinct(F.transform("facts", lambda f: f[k]))) != F.size("facts")
+    outside = lambda k, l: F.size(F.array_except(F.transform("facts", lambda f: f[k]), c(f"lineage.{l}"))) > 0  # noqa: E731, E741
+    unmapped = F.exists("unmapped", lambda u: u["source_concept"].isNull() | u["reason"].isNull())
+    malformed = (
+        ~c("contract").eqNullSafe(F.lit(contract)) | ~c("contract_version").eqNullSafe(F.lit(version)) | blank(c("filing.filing_id")) | c("filing.revision_number").isNull() | blank(c("quality.normalized_dataset_version"))
+        | blank(c("quality.validation_rule_set_version")) | blank(c("source.source_hash")) | ~F.coalesce(c("source.source_url").rlike("^https?://"), F.lit(False)) | (F.coalesce(F.size("facts"), F.lit(0)) < 1)
+        | doubled("normalized_fact_id") | doubled("raw_fact_id") | outside("raw_fact_id", "raw_fact_ids") | outside("normalized_fact_id", "normalized_fact_ids") | blank(c("lineage.normalization_version"))
+        | F.exists("unmapped", lambda u: blank(u["source_concept"]) | blank(u["reason"]))
+    )
+    tests = [
+        blank(c("snapshot_id")), ~c("quality.status").eqNullSafe(F.lit("VERIFIED")), c("source.source_url").isNull() | c("source.source_hash").isNull(), ~S.is_logical_reference(c("source.storage_reference")),
+        F.exists("facts", lambda f: ~S.is_published_number(f["value"])), none(LINEAGE[0]) | none(LINEAGE[1]) | none(LINEAGE[2]) | none(LINEAGE[3]),
+        c("limitations").isNull() | c("unmapped").isNull() | F.exists("limitations", item) | unmapped, malformed, F.exists("facts", lambda f: f["canonical_concept"] == "UNMAPPED"),
+    ]
+    return F.coalesce(*[F.when(F.coalesce(test, F.lit(False)), code) for code, test in zip(CODES, tests)])
+
+
+def published_documents(snapshot: DataFrame, api_version: str = "v1") -> DataFrame:
+    """(filing_id, code, document, etag): the canonical document of each good snapshot; the others have a code and no document."""
+    at = F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ssXXX")
+    document = F.struct(
+        F.lit(api_version).alias("api_version"), "contract", "contract_version", F.struct("snapshot_id", at.alias("published_at")).alias("snapshot"), "filing", "quality", "facts",
+        F.struct("source.*", *[F.col(f"lineage.{k}") for k in LINEAGE], F.col("lineage.normalization_version"), at.alias("published_at")).alias("provenance"),
+        F.struct(F.col("limitations").alias("items"), F.col("unmapped").alias("unmapped_concepts")).alias("limitations"),
+    )
+    out = snapshot.withColumn("code", document_code()).withColumn("document", F.when(F.col("code").isNull(), F.to_json(document, {"ignoreNullFields": "false"})))
+    return out.select("filing_id", "code", "document", F.concat(F.lit("sha256-"), F.sha2("document", 256)).alias("etag"))

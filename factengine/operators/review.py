@@ -1,6 +1,6 @@
 """Mapping review: impact, inventory, new versions, reprocessing and review marks as batch decisions."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import ids, scalars as S
 from .latest import latest
@@ -74,3 +74,32 @@ def mark_reviews(requests: DataFrame, entities: DataFrame, open_items: DataFrame
         .when(c("version") != c("expected_version"), "REVIEW_VERSION_STALE").when((c("o_key") == c("idempotency_key")) & (c("o_rationale") == F.trim("rationale")), "REPLAYED").when(c("o_key").isNotNull(), "REVIEW_ITEM_EXISTS").otherwise("CREATED")
     )
     return r.select("request_id", decision.alias("decision"))
+
+
+def fact_detail(facts: DataFrame, filings: DataFrame, raw: DataFrame, contexts: DataFrame, units: DataFrame, mappings: DataFrame, concepts: DataFrame) -> DataFrame:
+    """facts (raw_fact_id, filing_id, canonical_concept, mapping_rule_id, ..) with filing, raw_fact, context, unit, mapping and concept as structs.
+
+    Every join is a left one, so a fact without any of them stays, with a null struct.
+    Mappings and concepts are reference data, which Spark broadcasts where their size allows it.
+    """
+    whole = lambda df, name, key: df.select(*key, F.struct("*").alias(name))
+    r = raw.select("raw_fact_id", "context_id", "unit_id", F.struct("raw_fact_id", "source_concept", "source_namespace", "raw_value", "is_nil").alias("raw_fact"))
+    out = facts.join(r, "raw_fact_id", "left").join(whole(contexts, "context", ["context_id"]), "context_id", "left").join(whole(units, "unit", ["unit_id"]), "unit_id", "left")
+    out = out.join(whole(filings, "filing", ["filing_id"]), "filing_id", "left").join(whole(mappings, "mapping", ["mapping_rule_id"]), "mapping_rule_id", "left")
+    return out.join(concepts.select(F.col("code").alias("canonical_concept"), F.struct("*").alias("concept")), "canonical_concept", "left")
+
+
+def validation_detail(results: DataFrame, facts: DataFrame, filings: DataFrame) -> DataFrame:
+    """results with input_facts, the filing's own facts among their evidence, and the filing; foreign evidence is left out."""
+    item = F.struct("normalized_fact_id", "canonical_concept", F.col("value").cast("string").alias("value"), "currency", "source_concept")
+    owned = facts.groupBy("filing_id").agg(F.array_sort(F.collect_list(item)).alias("owned"))
+    head = filings.select("filing_id", F.struct("filing_id", "issuer_code", "fiscal_period", "revision_number").alias("filing"))
+    out = results.join(owned, "filing_id", "left").join(head, "filing_id", "left")
+    return out.withColumn("input_facts", F.filter("owned", lambda x: F.array_contains("evidence", x["normalized_fact_id"]))).drop("owned")
+
+
+def series_history(mappings: DataFrame) -> DataFrame:
+    """mappings with ``place`` in their series, newest version first, and ``versions``, the series' number of them."""
+    w = W.partitionBy("series_key")
+    place = F.row_number().over(w.orderBy(F.desc("rule_version"), F.asc("mapping_rule_id")))
+    return mappings.withColumns({"place": place.cast("bigint"), "versions": F.count("*").over(w)})

@@ -4,6 +4,7 @@ from . import rule_queries, scalar_queries  # noqa: F401, I001
 from . import norm_queries  # noqa: F401
 from . import ops_queries  # noqa: F401
 from . import audit_queries  # noqa: F401
+from . import whole_queries  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

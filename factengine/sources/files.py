@@ -1,5 +1,7 @@
 """Reference CSV, candidate JSON, parser results and artifacts, under fixed schemas."""
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import scalars as S
@@ -159,3 +161,30 @@ def corrupt_artifacts(catalog: DataFrame, files: DataFrame) -> DataFrame:
     """Catalog rows whose file now has another hash, or is gone."""
     now = files.select("artifact_id", F.col("source_hash").alias("found"))
     return catalog.join(now, "artifact_id", "left").where(~F.col("source_hash").eqNullSafe(F.col("found"))).select("artifact_id", "source_hash", "found")
+
+
+def discover(rows: DataFrame, hosts: list[str], order: str, issuer: str | None = None, offset: int = 0, page_size: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) candidates of rows (candidate, ``order``): a page of the good ones of an issuer in order, and all bad ones.
+
+    Offsets count accepted candidates. Bounds outside of 1 to 1,000 rows, and issuers that are no codes, are refused before any job.
+    """
+    if not 1 <= page_size <= 1000 or offset < 0:
+        raise ValueError("a page has 1 to 1,000 candidates and a positive offset")
+    issuer = issuer.strip().upper() if issuer is not None else None
+    if issuer is not None and not re.fullmatch(r"[A-Z0-9.-]{1,32}", issuer):
+        raise ValueError("not an issuer code")
+    checked = check_candidates(rows, hosts)
+    good = checked.where(F.col("problem").isNull())
+    if issuer is not None:
+        good = good.where(F.upper(F.trim("c.issuer_code")) == issuer)
+    return good.orderBy(order).offset(offset).limit(page_size), checked.where(F.col("problem").isNotNull())
+
+
+def candidate_files(spark: SparkSession, path: str, most_bytes: int = 5 << 20, most_candidates: int = 1000) -> DataFrame:
+    """(path, size, candidates, problem): each candidate file held against the bounds before its candidates are used."""
+    texts = spark.read.option("wholetext", True).text(path).select("value", "_metadata.file_path", "_metadata.file_size")
+    bare = F.try_parse_json("value")
+    list_ = F.coalesce(F.try_variant_get(bare, "$", "array<variant>"), F.try_variant_get(bare, "$.candidates", "array<variant>"))
+    n = F.size(list_).cast("bigint")
+    problem = F.when(F.col("file_size") > most_bytes, "too many bytes").when(bare.isNull(), "not JSON").when(list_.isNull(), "no candidate list").when(n > most_candidates, "too many candidates")
+    return texts.select(F.col("file_path").alias("path"), F.col("file_size").alias("size"), n.alias("candidates"), problem.alias("problem"))

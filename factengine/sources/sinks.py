@@ -2,7 +2,7 @@
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -13,18 +13,26 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def new_rows(rows: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key is not stored yet, one per key."""
-    return rows.dropDuplicates(keys).join(stored.select(*keys).distinct(), keys, "left_anti")
+    return rows.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
 
 
 def append_new(rows: DataFrame, path: str, keys: list[str], partition_by: list[str] = ()) -> int:
-    """Append the rows whose key the table at path lacks; returns how many. A second run adds none."""
+    """Append the rows whose key the table at path lacks; returns how many. A second run adds none.
+
+    Of the stored table only the keys are read, and with ``partition_by``, whose
+    columns must follow from the key, only the partitions that the batch has
+    rows in. The rows are counted while they are written.
+    """
     spark = rows.sparkSession
     fresh = rows.dropDuplicates(keys)
     if exists(spark, path):
-        fresh = new_rows(rows, spark.read.parquet(path), keys)
-    before = spark.read.parquet(path).count() if exists(spark, path) else 0
-    fresh.write.mode("append").partitionBy(*partition_by).parquet(path)
-    return spark.read.parquet(path).count() - before
+        stored = spark.read.parquet(path).select(*{*keys, *partition_by})
+        if partition_by:
+            stored = stored.join(rows.select(*partition_by).distinct(), list(partition_by), "left_semi")
+        fresh = new_rows(rows, stored, keys)
+    seen = Observation()
+    fresh.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy(*partition_by).parquet(path)
+    return seen.get["n"]
 
 
 def exists(spark: SparkSession, path: str) -> bool:
