@@ -6,8 +6,9 @@ sketch) estimate a candidate pair's similarity by the population count of the
 XOR. What the estimate leaves (ESTIMATE, seven standard deviations below the
 threshold 0.8) is confirmed on the full shingle sets.
 
-Equal sets are one class (64-bit hash of the set) before any pairing. Links are
-found in three steps, and after each one what is linked is one component:
+Equal sets are one class (128-bit digest of the set) before any pairing; classes
+are numbered once, in a frozen table. Links are found in three steps, and after
+each one what is linked is one component:
 
 1. A band bucket is a star around three of its classes, so it gives candidates per
    member, not per pair; each class is held against its best hub by sketch.
@@ -29,6 +30,8 @@ are ``kept``, and one is ``first``; null ids come after all others; an empty tab
 gives no rows.
 """
 
+import struct
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -80,8 +83,9 @@ def shingler(k: int):
     return f
 
 
-def class_of(shingles: np.ndarray) -> int:
-    return int(xxhash.xxh3_64_intdigest(shingles.tobytes())) - (1 << 63)
+def set_digest(shingles: np.ndarray) -> tuple[int, int]:
+    """128-bit digest of a set as two longs."""
+    return struct.unpack(">qq", xxhash.xxh3_128_digest(shingles.tobytes()))
 
 
 def samples(shingles: np.ndarray) -> np.ndarray:
@@ -306,18 +310,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, keep:
         def row(r):
             found = shingles(r[0])
             if not len(found):
-                return 0, None, None, None
+                return 0, None, None, None, None
             s = samples(found)
-            return len(found), class_of(found), band_keys(s), odd_sketch(s)
+            return len(found), *set_digest(found), band_keys(s), odd_sketch(s)
 
         return row
 
     held = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), *(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)))
-    schema = fields(held, held.columns) + "n_shingles bigint, cls bigint, bands array<bigint>, sketch array<bigint>"
+    schema = fields(held, held.columns) + "n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, sketch array<bigint>"
     signed = freeze(map_rows(held, make, schema, kept=len(held.columns), reads=["text"]), "minhash")
-    known = signed.where(F.col("cls").isNotNull())
+    known = signed.where(F.col("set_a").isNotNull())
     first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row"))
-    classes = freeze(known.groupBy("cls").agg(first.alias("first"), *(F.first(c).alias(c) for c in ("n_shingles", "sketch", "bands"))).withColumnRenamed("n_shingles", "n"), "classes")
+    equal = known.groupBy("set_a", "set_b").agg(first.alias("first"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in ("sketch", "bands")))
+    classes = freeze(equal.withColumn("cls", F.monotonically_increasing_id()), "classes")
 
     rows = classes.select("cls", "n", F.explode("bands").alias("band"))
     hubs = F.array(F.min("cls"), F.max("cls"), F.min_by("cls", F.xxhash64("cls")))
@@ -339,11 +344,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, keep:
         if dealt is not None:
             labels = _joined(labels, _compare(dealt, classes, sets, percent))
 
-    named = classes.select("cls", "first").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    named = classes.select("set_a", "set_b", "cls", "first").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     smallest = named.groupBy("comp").agg(F.min("first").alias("smallest"))
-    by_class = named.join(smallest, "comp").select("cls", "smallest")
-    out = signed.drop("bands", "sketch").join(by_class, "cls", "left")
-    alone = F.col("cls").isNull()
+    by_set = named.join(smallest, "comp").select("set_a", "set_b", "smallest")
+    out = signed.drop("bands", "sketch").join(by_set, ["set_a", "set_b"], "left")
+    alone = F.col("set_a").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("smallest.doc_id"))
     kept = F.col("doc_id").eqNullSafe(component)
     rest = ["text"] * ("text" in wanted) + [F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)]
