@@ -1,4 +1,4 @@
-"""Raw facts to canonical facts: candidate mappings at each filter level, counted in one grouped join."""
+"""Raw facts to canonical facts. The mappings of a concept are one array, joined to its facts, so a fact is judged in its own row and facts are not shuffled again."""
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -9,38 +9,57 @@ from .latest import at_latest_version
 REASONS = ("NO_MAPPING", "NOT_APPROVED", "SCOPE_DIFFERS", "PERIOD_DIFFERS", "CONTEXT_DIFFERS", "AMBIGUOUS", "UNKNOWN_CONCEPT", "BAD_NUMBER", "BAD_SIGN_CONVENTION", "BAD_EXCEPTION_VALUE")
 
 
+#: A mapping's columns that its fact takes over, the deciding one first.
+PICKED = ("mapping_rule_id", "rule_version", "canonical_concept", "sign_convention", "d_known")
+
+
 def current_mappings(mappings: DataFrame) -> DataFrame:
     """Mappings at the latest version of their series; a newer draft hides an older approved one."""
     key = ids.series_key(F.col("source_namespace"), F.col("source_concept"), F.col("entry_point"))
     return at_latest_version(mappings.withColumn("series_key", key), ["source_concept", "series_key"], "rule_version")
 
 
-def candidates(facts: DataFrame, mappings: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Facts with every mapping of their concept and namespace (left join), and flags ``approved`` and ``applies``.
-
-    ``source_concept`` stays the equi key, so blank wildcards are a residual condition.
-    Mappings and dictionary are reference data of a few thousand rows; Spark
-    broadcasts them where their size allows it.
-    """
+def _prepared(mappings: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Mappings with trimmed filter values (blank: any) and the dictionary's entry of their concept."""
     c = F.col
     d = dictionary.select(c("code").alias("d_code"), S.listed(c("allowed_scope")).alias("d_scopes"), F.upper(F.trim("period_type")).alias("d_period"))
-    blank = lambda x: F.trim(F.coalesce(x, F.lit(""))) == ""
-    m = mappings.join(d, c("canonical_concept") == c("d_code"), "left").select(
+    blank = F.trim(F.coalesce("entry_point", F.lit(""))) == ""
+    return mappings.join(d, c("canonical_concept") == c("d_code"), "left").select(
         "mapping_rule_id", c("source_concept").alias("m_concept"), F.trim(F.coalesce("source_namespace", F.lit(""))).alias("m_namespace"), "canonical_concept",
-        F.when(~blank(c("entry_point")), F.trim("entry_point")).alias("m_entry"), S.listed(F.upper(F.coalesce("allowed_scope", F.lit("")))).alias("m_scopes"),
+        F.when(~blank, F.trim("entry_point")).alias("m_entry"), S.listed(F.upper(F.coalesce("allowed_scope", F.lit("")))).alias("m_scopes"),
         F.upper(F.trim(F.coalesce("period_type", F.lit("")))).alias("m_period"), "sign_convention", F.upper("status").alias("m_status"), "rule_version",
         F.upper(F.trim(F.coalesce("dimension_policy", F.lit("UNDIMENSIONED_ONLY")))).alias("m_policy"), c("d_code").isNotNull().alias("d_known"), "d_scopes", "d_period",
     )
-    on = (c("source_concept") == c("m_concept")) & ((c("m_namespace") == "") | (c("m_namespace") == F.trim(F.coalesce("source_namespace", F.lit("")))))
+
+
+def _in_namespace(m) -> Column:
+    """Whether a mapping, whose columns ``m`` gives by name, takes the fact's namespace."""
+    return (m("m_namespace") == "") | (m("m_namespace") == F.trim(F.coalesce("source_namespace", F.lit(""))))
+
+
+def _flags(m) -> dict[str, Column]:
+    """What a mapping, whose columns ``m`` gives by name, says of the fact at each filter level."""
     scope, period = F.upper(F.coalesce("scope", F.lit(""))), F.upper(F.coalesce("period_type", F.lit("")))
     in_scopes = lambda s: F.coalesce(F.size(s) == 0, F.lit(True)) | F.coalesce(F.array_contains(s, scope), F.lit(False))
     in_period = lambda p: F.coalesce(p.isin("", "ANY") | (p == period), F.lit(True))
-    fits_scope, fits_period = in_scopes(c("m_scopes")), F.coalesce((c("m_period") == "") | (c("m_period") == period), F.lit(True))
-    fits = ~((c("m_policy") == "UNDIMENSIONED_ONLY") & F.coalesce("dimensioned", F.lit(False)))
-    fits = fits & (c("m_entry").isNull() | F.coalesce(c("m_entry") == F.trim("entry_point"), F.lit(False)))
-    fits = fits & fits_scope & in_scopes(F.transform("d_scopes", F.upper)) & in_period(c("m_period")) & in_period(c("d_period"))
-    approved = F.coalesce(c("m_status") == "APPROVED", F.lit(False))
-    return facts.join(m, on, "left").withColumns({"approved": approved, "applies": approved & fits, "fits_scope": fits_scope, "fits_period": fits_period})
+    fits_scope, fits_period = in_scopes(m("m_scopes")), F.coalesce((m("m_period") == "") | (m("m_period") == period), F.lit(True))
+    fits = ~((m("m_policy") == "UNDIMENSIONED_ONLY") & F.coalesce("dimensioned", F.lit(False)))
+    fits = fits & (m("m_entry").isNull() | F.coalesce(m("m_entry") == F.trim("entry_point"), F.lit(False)))
+    fits = fits & fits_scope & in_scopes(m("d_scopes")) & in_period(m("m_period")) & in_period(m("d_period"))
+    approved = F.coalesce(m("m_status") == "APPROVED", F.lit(False))
+    return {"approved": approved, "applies": approved & fits, "fits_scope": fits_scope, "fits_period": fits_period}
+
+
+def candidates(facts: DataFrame, mappings: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Facts with every mapping of their concept and namespace (left join), and flags ``approved`` and ``applies``.
+
+    ``source_concept`` stays the equi key, so blank wildcards are a residual condition.
+    Mappings and dictionary are reference data of a few thousand rows; Spark
+    broadcasts them where their size allows it.
+    """
+    c = F.col
+    m = _prepared(mappings, dictionary).withColumn("d_scopes", F.transform("d_scopes", F.upper))
+    return facts.join(m, (c("source_concept") == c("m_concept")) & _in_namespace(c), "left").withColumns(_flags(c))
 
 
 def normalize(facts: DataFrame, mappings: DataFrame, dictionary: DataFrame, version: str = "v1", exceptions: list[tuple[str, Column, Column]] = ()) -> DataFrame:
@@ -52,14 +71,18 @@ def normalize(facts: DataFrame, mappings: DataFrame, dictionary: DataFrame, vers
     mapping's columns and the value ``value``.
     """
     c = F.col
-    cand = candidates(facts, mappings, dictionary)
-    pick = F.struct("mapping_rule_id", "rule_version", "canonical_concept", "sign_convention", "d_known")
-    keep = [x for x in facts.columns if x != "raw_fact_id"]
-    first_ok = F.min_by(F.struct("fits_scope", "fits_period"), F.when(c("approved"), F.struct(-c("rule_version"), c("mapping_rule_id"))))
-    one = cand.groupBy("raw_fact_id").agg(
-        *[F.first(x).alias(x) for x in keep], F.count("mapping_rule_id").alias("n_cand"), F.sum(c("approved").cast("int")).alias("n_appr"), F.sum(c("applies").cast("int")).alias("n_appl"),
-        F.min_by(pick, F.when(c("applies"), c("mapping_rule_id"))).alias("m"), first_ok.alias("ok"),
-    )
+    m = _prepared(mappings, dictionary).where(c("mapping_rule_id").isNotNull()).withColumn("d_scopes", F.transform("d_scopes", F.upper))
+    of_concept = m.groupBy("m_concept").agg(F.collect_list(F.struct(*[x for x in m.columns if x != "m_concept"])).alias("of_concept"))
+    judged = lambda x: F.struct(*[x[k].alias(k) for k in PICKED], *[v.alias(k) for k, v in _flags(lambda k: x[k]).items()])
+    found = F.transform(F.filter(F.coalesce("of_concept", F.array()), lambda x: _in_namespace(lambda k: x[k])), judged)
+    one = facts.join(of_concept, c("source_concept") == c("m_concept"), "left").withColumn("found", found)
+    having = lambda flag: F.filter("found", lambda x: x[flag])
+    least = lambda flag, *parts: F.array_min(F.transform(having(flag), lambda x: F.struct(*[p(x) for p in parts])))
+    named = lambda k: lambda x: x[k].alias(k)
+    one = one.withColumns({
+        "n_cand": F.size("found"), "n_appr": F.size(having("approved")), "n_appl": F.size(having("applies")), "m": least("applies", *map(named, PICKED)),
+        "ok": least("approved", lambda x: (-x["rule_version"]).alias("newest"), *map(named, ("mapping_rule_id", "fits_scope", "fits_period"))),
+    })
     null = F.lit(None).cast("string")
     text = S.numeric_text(c("is_nil"), null, c("raw_value"))
     bad = S.invalid_number(c("is_nil"), null, c("raw_value")) | (text.isNotNull() & S.decimal_of(text).isNull())

@@ -10,6 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: HotSpot never compiles a method of more bytecode than this; Spark then takes projections that it splits into small methods.
+METHOD_LIMIT = ("spark.sql.codegen.hugeMethodLimit", 8000)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -19,6 +22,9 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        name, most = METHOD_LIMIT
+        if int(spark.conf.get(name)) > most:  # a setting of the session; a smaller one stays
+            spark.conf.set(name, str(most))
 
     def __getattr__(self, name: str) -> DataFrame:
         from .projection import VIEWS
