@@ -2,7 +2,8 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontam, lm, media, neardup, suffix, toxicity, urls, warc
+from . import bpe, chat, decontam, fim, lm, media, neardup, pq, quality, suffix, toxicity, urls, warc
+from .common import freeze
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,8 +100,95 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_media_columns, op3_url_filter, op4_lm_scoring, op5_suffix_dedup, op6_chat_format, op7_toxicity, op8_warc_fixity, op9_byte_bpe, op10_decontamination)}
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
+    model = quality.train(docs, labels, fold != 0)
+    return quality.score(docs, model).select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = pq.compress(_table(spark, sf_dir, "embeddings"))
+    totals = pq.label_errors(freeze(coded, "pq_codes"))
+    return totals.select("vec_id", "code", "error", "label_error", F.lit(pq.codebooks_sha256(books)).alias("codebooks_sha256"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(_table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_media_columns, op3_url_filter, op4_lm_scoring, op5_suffix_dedup, op6_chat_format, op7_toxicity, op8_warc_fixity, op9_byte_bpe, op10_decontamination, op11_quality, op12_vector_codes, op13_fill_in_middle)}
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """op12 in SQL: distances as sums of inner products of integers, exact in doubles."""
+    near = """
+        select vec_id, part, m % 256 as entry, m // 256 as distance from (
+            select v.vec_id, v.part, min(cast(v.square + b.square - 2 * list_inner_product(v.x, b.x) as bigint) * 256 + b.entry) as m
+            from parts v join {book} b using (part) group by all)"""
+    sql = """
+        with kept as (
+            select vec_id, label, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as v from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), parts as materialized (
+            select vec_id, p as part, x, list_inner_product(x, x) as square from (
+                select vec_id, p, list_slice(v, p * len(v) // 4 + 1, (p + 1) * len(v) // 4) as x from kept, range(4) as r(p))
+        ), book0 as materialized (
+            select part, row_number() over (partition by part order by vec_id) - 1 as entry, x, square from parts
+            where vec_id in (select vec_id from kept order by vec_id limit 256)
+        )"""
+    for i in range(rounds):
+        sql += f"""
+        , near{i} as materialized ({near.format(book=f"book{i}")}
+        ), mean{i} as (
+            select part, entry, list(mean order by place) as x from (
+                select n.part, n.entry, place, floor(sum(cast(p.x[place] as bigint)) / count(*)) as mean
+                from near{i} n join parts p using (vec_id, part), range(1, 1 + (select max(len(x)) from parts)) as d(place) group by all)
+            group by all
+        ), book{i + 1} as materialized (
+            select b.part, b.entry, coalesce(m.x, b.x) as x, list_inner_product(coalesce(m.x, b.x), coalesce(m.x, b.x)) as square
+            from book{i} b left join mean{i} m using (part, entry)
+        )"""
+    return f"""{sql}, last as materialized ({near.format(book=f"book{rounds}")}
+        ), coded as (
+            select vec_id, string_agg(printf('%02x', entry), '' order by part) as code, cast(sum(distance) as bigint) as error from last group by vec_id
+        )
+        select c.vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+            (select sha256(string_agg(cast(cast(u as bigint) as varchar), ',' order by part, entry, place))
+                from (select part, entry, unnest(x) as u, generate_subscripts(x, 1) as place from book{rounds})) as codebooks_sha256
+        from coded c join kept using (vec_id)
+    """
+
+
 ORACLE: dict[str, str] = {
+    "op12_vector_codes": _codes_sql(),
+    "op13_fill_in_middle": r"""
+        with hashed as (
+            select doc_id, coalesce(text, '') as text, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents
+        ), drawn as (
+            select doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') as units,
+                cast('0x' || substr(h, 1, 8) as bigint) as h1, cast('0x' || substr(h, 9, 8) as bigint) as h2,
+                cast('0x' || substr(h, 17, 8) as bigint) as h3, cast('0x' || substr(h, 25, 8) as bigint) as h4 from hashed
+        ), cut as (
+            select *, len(units) as n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) as a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) as b,
+                case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form
+            from drawn
+        ), split as (
+            select *, list_aggregate(list_slice(units, 1, a), 'string_agg', '') as p, list_aggregate(list_slice(units, a + 1, b), 'string_agg', '') as m,
+                list_aggregate(list_slice(units, b + 1, n), 'string_agg', '') as s from cut
+        ), said as (
+            select doc_id, text, n, form, coalesce(p, '') as p, coalesce(m, '') as m, coalesce(s, '') as s from split
+        )
+        select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+            sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+            sha256(text) as restored_sha256
+        from said
+    """,
     "op6_chat_format": r"""
         with rows as (
             select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations

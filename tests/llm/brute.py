@@ -139,3 +139,92 @@ def fingerprint(samples, frame=512, hop=256, bands=((1, 16), (16, 64), (64, 257)
     level = lambda t, b: power[t][tops[t][b]] if 0 <= t < len(power) else 0.0
     peaks = [(t, tops[t][b]) for t in range(len(power)) for b in range(len(bands)) if level(t, b) > level(t - 1, b) and level(t, b) >= level(t + 1, b) and level(t, b) > 1e-3]
     return sorted((t << 32) | (f << 18) | (g << 8) | (u - t) for k in (1, 2) for (t, f), (u, g) in zip(peaks, peaks[k:]) if u - t <= 63)
+
+
+def fill_in_middle(doc_id, text):
+    """(n, form, prefix_chars, middle_chars, output)."""
+    text = text or ""
+    units = re.findall("[A-Za-z]+|[^A-Za-z]", text)
+    digest = hashlib.sha256(f"1:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h = [int(digest[i : i + 8], 16) for i in (0, 8, 16, 24)]
+    if not text or re.search("<[PSM]>", text) or h[2] % 100 >= 90:
+        return len(units), "plain", None, None, text
+    a, b = sorted(x % (len(units) + 1) for x in h[:2])
+    p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    if h[3] % 100 < 20:
+        return len(units), "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}"
+    return len(units), "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}"
+
+
+def vector_codes(rows, parts=4, entries=256, rounds=4):
+    """[(id, label, code, error)] and the codebooks of (id, vector, label) rows, row by row in whole numbers."""
+    kept = []
+    for i, v, label in rows:
+        if v and len(v) % parts == 0 and all(x is not None and math.isfinite(x) for x in v):
+            kept.append((i, [math.floor(1024 * x) for x in v], label))
+    kept.sort(key=lambda r: (r[0] is not None, r[0], r[1]))
+    kept = [r for r in kept if len(r[1]) == len(kept[0][1])]
+    width = len(kept[0][1]) // parts if kept else 0
+    cut = lambda v: [v[p * width : (p + 1) * width] for p in range(parts)]
+    books = [[cut(v)[p] for _, v, _ in kept[:entries]] for p in range(parts)]
+
+    def nearest(p, x):
+        return min((sum((a - b) ** 2 for a, b in zip(x, e)), n) for n, e in enumerate(books[p]))
+
+    for _ in range(rounds):
+        new = []
+        for p in range(parts):
+            members = [[] for _ in books[p]]
+            for _, v, _ in kept:
+                members[nearest(p, cut(v)[p])[1]].append(cut(v)[p])
+            new.append([[sum(c) // len(m) for c in zip(*m)] if m else e for m, e in zip(members, books[p])])
+        books = new
+    out = []
+    for i, v, label in kept:
+        found = [nearest(p, x) for p, x in enumerate(cut(v))]
+        out.append((i, label, "".join(f"{n:02x}" for _, n in found), sum(d for d, _ in found)))
+    return out, books
+
+
+def quality_scores(docs, labels, per_row=9, dimensions=48):
+    """{doc_id: score} by all labelled rows' neighbours, document by document."""
+    import zlib
+
+    import numpy as np
+
+    def shares(text):
+        words, lines, out = text.split(), text.split("\n"), Counter()
+        for w in words:
+            kind = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in w)
+            out["s" + re.sub(r"(.)\1+", r"\1+", kind)] += 1 / len(words)
+            out["w" + w.lower().strip(".,;:!?|#$%&*()[]{}<>\"'")] += 1 / len(words)
+        for step in (1, 2, 3):
+            if again := sum(a == b for a, b in zip(words, words[step:])):
+                out[f"again {step}"] = again / len(words)
+        if words and len(set(lines)) < len(lines):
+            out["line again"] = 1 - len(set(lines)) / len(lines)
+        return out
+
+    of = {i: shares(t or "") for i, t in docs}
+    label = {i: q for i, q in labels if q is not None and zlib.crc32(str(i).encode()) % 5 and i in of}
+    ids = sorted(i for i in label if of[i])
+    seen = Counter(t for i in ids for t in of[i])
+    chosen = [t for t, n in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if n >= 4][:2048]
+    matrix = np.array([[math.sqrt(of[i][t]) for t in chosen] for i in ids])
+    part = matrix / matrix.sum(0)
+    weight = np.maximum(0.05, 1 + (part * np.log(np.where(part > 0, part, 1))).sum(0) / math.log(len(ids)))
+    _, _, base = np.linalg.svd(matrix * weight, full_matrices=False)
+    base = base[:dimensions] * weight
+    unit = lambda v: v / max(1e-12, np.linalg.norm(v))
+    known = [(unit(base @ row), label[i]) for i, row in zip(ids, matrix)]
+    prior = sum(label.values()) / len(label)
+    out = {}
+    for i, t in of.items():
+        row = np.array([math.sqrt(t[x]) for x in chosen])
+        if not row.any():
+            out[i] = prior
+            continue
+        near = sorted(((max(0.0, round(float(unit(base @ row) @ v), 6)), q) for v, q in known), reverse=True)
+        near = [x for x in near if x[0] >= near[min(per_row, len(near)) - 1][0]]
+        out[i] = (sum(c * q for c, q in near) + 1e-3 * prior) / (sum(c for c, _ in near) + 1e-3)
+    return out
