@@ -132,3 +132,24 @@ def resolve_metadata(facts: DataFrame) -> DataFrame:
     clash = c("currency").isNotNull() & F.exists("units", lambda u: u != c("currency"))
     status = F.when(F.coalesce(clash, F.lit(False)) | (c("scope") == "UNKNOWN"), "REVIEW_REQUIRED").otherwise("RESOLVED")
     return out.select("filing_id", "scope", "currency", status.alias("status"), F.concat_ws(",", "s.raw_fact_id", "p.raw_fact_id").alias("evidence"))
+
+
+def _resolved(metadata: DataFrame) -> DataFrame:
+    return metadata.where(F.col("status") == "RESOLVED").select("filing_id", F.col("scope").alias("own_scope"), F.col("currency").alias("own_currency"))
+
+
+def stamped_facts(facts: DataFrame, metadata: DataFrame) -> DataFrame:
+    """facts whose contexts have the scope of their filing's metadata (resolve_metadata), where these are resolved."""
+    out = facts.join(_resolved(metadata), "filing_id", "left")
+    return out.withColumn("scope", F.coalesce("own_scope", "scope")).select(*facts.columns)
+
+
+def stamped_filings(filings: DataFrame, metadata: DataFrame) -> DataFrame:
+    """filings with the scope and the presentation currency of their metadata, where these are resolved; an unknown currency changes nothing."""
+    out = filings.join(_resolved(metadata), "filing_id", "left")
+    return out.withColumns({"scope": F.coalesce("own_scope", "scope"), "presentation_currency": F.coalesce("own_currency", "presentation_currency")}).select(*filings.columns)
+
+
+def zero_issues(stored: DataFrame) -> DataFrame:
+    """(filing_id, raw_fact_id, reason) of stored facts that are nil and have the value zero; stored: filing_id, raw_fact_id, is_nil, value."""
+    return stored.where(F.col("is_nil") & (F.col("value") == 0)).select("filing_id", "raw_fact_id", F.lit("NIL_BECAME_ZERO").alias("reason"))

@@ -330,17 +330,19 @@ def wide_rows(filings: DataFrame, facts: DataFrame, dictionary: DataFrame, issue
     restated = F.filter(_last("mine"), lambda x: F.try_element_at("old", x["c"]) != x["v"])
     out = out.withColumn("mine", F.when(F.col("old").isNotNull(), F.transform(restated, lambda x: x["c"])))
     out = out.withColumn("apart", empty(F.when(F.size("by") > 1, F.array_distinct(F.array_compact(apart)))))
+    # of several groups that disagree the one of the first fact is named
+    out = out.withColumn("first_apart", F.get(F.filter("owned", lambda x: F.array_contains("apart", x["same"])), F.lit(0))["same"])
     value = lambda c: F.get(F.filter("owned", lambda x: (x["canonical_concept"] == c) & x["value"].isNotNull()), F.lit(0))["value"]
     first = lambda flag: F.get(named(lambda x: x[flag]), F.lit(0))
     return out.withColumns({
         **{c: value(c) for c in CONCEPTS},
         **{flag: first(flag) for flag in ("bad_dates", "bad_period_type", "bad_dimension", "bad_unit", "bad_scope", "bad_nil")},
         "currencies": empty(found("currency")), "scopes": empty(found("scope")),
-        "conflicts": F.size("apart"), "conflict_ids": empty(named(lambda x: F.array_contains("apart", x["same"]))),
+        "conflicts": F.size("apart"), "conflict_ids": empty(named(lambda x: x["same"] == F.col("first_apart"))),
         "changed_ids": empty(named(lambda x: F.array_contains("mine", x["canonical_concept"]))),
         "overlap_ids": empty(named(lambda x: x["value"].isNotNull() & F.array_contains("theirs", x["canonical_concept"]))),
         "superseded_known": F.coalesce("superseded_known", F.lit(False)), "zero_issue": F.coalesce("zero_issue", F.lit(False)),
-    }).drop("by", "mine", "apart", "old", "theirs")
+    }).drop("by", "mine", "apart", "first_apart", "old", "theirs")
 
 
 def outcomes(wide: DataFrame, rules: dict[str, Rule] | None = None, mode: str = "service", severities: dict[str, str] | None = None) -> DataFrame:
