@@ -70,26 +70,26 @@ def payloads(filings: DataFrame, facts: DataFrame, results: DataFrame, versions:
 
 
 def payload_violations(payload: DataFrame, allow_unavailable: bool = False) -> DataFrame:
-    """(filing_id, violations): distinct texts of what a payload breaks, in check order."""
+    """(filing_id, violations): codes of what a payload breaks, in check order."""
     c = F.col
     blank = lambda x: F.trim(F.coalesce(x, F.lit(""))) == ""
     value = lambda f: ~S.is_published_number(f["value"]) & ~(f["value"].isNull() & (f["availability"] != "AVAILABLE") & F.lit(allow_unavailable))
     names = lambda k: F.transform("facts", lambda f: f[k])
     checks = [
-        (blank(c("filing.filing_id")) | c("filing.revision_number").isNull(), "filing identity"),
-        ((c("quality.status") != "VERIFIED") | blank(c("quality.normalized_dataset_version")), "quality status or version"),
-        (blank(c("source.source_url")) | blank(c("source.source_hash")), "source provenance"),
-        (~c("source.source_url").rlike("^https?://"), "source url"),
-        (~F.coalesce(S.is_logical_reference(c("source.storage_reference")), F.lit(True)), "storage reference must be logical"),
-        (F.size("facts") == 0, "facts are required"),
-        (F.exists("facts", value), "invalid decimal value"),
-        (F.exists("facts", lambda f: f["canonical_concept"] == "UNMAPPED"), "fact cannot be UNMAPPED"),
-        (F.exists("facts", lambda f: blank(f["raw_fact_id"])), "raw lineage"),
-        (F.size(F.array_distinct(names("normalized_fact_id"))) != F.size("facts"), "fact identifiers are duplicated"),
-        (F.size(F.array_distinct(names("raw_fact_id"))) != F.size("facts"), "raw identifiers are duplicated"),
-        (F.size(F.array_except(names("raw_fact_id"), c("lineage.raw_fact_ids"))) > 0, "lineage lacks raw facts"),
-        (F.size(F.array_except(names("normalized_fact_id"), c("lineage.normalized_fact_ids"))) > 0, "lineage lacks facts"),
-        (F.exists("limitations", lambda i: ~i["severity"].isin("INFO", "WARN") | i["code"].isNull()), "limitation is malformed"),
+        (blank(c("filing.filing_id")) | c("filing.revision_number").isNull(), "IDENTITY_INCOMPLETE"),
+        ((c("quality.status") != "VERIFIED") | blank(c("quality.normalized_dataset_version")), "QUALITY_UNFIT"),
+        (blank(c("source.source_url")) | blank(c("source.source_hash")), "SOURCE_INCOMPLETE"),
+        (~c("source.source_url").rlike("^https?://"), "SOURCE_URL_SCHEME"),
+        (~F.coalesce(S.is_logical_reference(c("source.storage_reference")), F.lit(True)), "STORAGE_NOT_LOGICAL"),
+        (F.size("facts") == 0, "NO_FACTS"),
+        (F.exists("facts", value), "VALUE_NOT_DECIMAL"),
+        (F.exists("facts", lambda f: f["canonical_concept"] == "UNMAPPED"), "FACT_UNMAPPED"),
+        (F.exists("facts", lambda f: blank(f["raw_fact_id"])), "FACT_WITHOUT_SOURCE"),
+        (F.size(F.array_distinct(names("normalized_fact_id"))) != F.size("facts"), "FACT_ID_REPEATS"),
+        (F.size(F.array_distinct(names("raw_fact_id"))) != F.size("facts"), "SOURCE_ID_REPEATS"),
+        (F.size(F.array_except(names("raw_fact_id"), c("lineage.raw_fact_ids"))) > 0, "LINEAGE_MISSES_SOURCE"),
+        (F.size(F.array_except(names("normalized_fact_id"), c("lineage.normalized_fact_ids"))) > 0, "LINEAGE_MISSES_FACT"),
+        (F.exists("limitations", lambda i: ~i["severity"].isin("INFO", "WARN") | i["code"].isNull()), "LIMITATION_UNFIT"),
     ]
     found = F.array_distinct(F.array_compact(F.array(*[F.when(F.coalesce(cond, F.lit(True)), text) for cond, text in checks])))
     return payload.select("filing_id", found.alias("violations"))
@@ -116,9 +116,9 @@ def contract_violations(snapshot: DataFrame, contract: str = CONTRACT, version:
     c = F.col
     blank = lambda x: F.trim(F.coalesce(x, F.lit(""))) == ""
     checks = [
-        (~c("contract").eqNullSafe(F.lit(contract)), "contract identity"), (~c("contract_version").eqNullSafe(F.lit(version)), "contract version"),
-        *((F.coalesce(F.size(c(f"lineage.{k}")), F.lit(0)) < 1, f"lineage lacks {k}") for k in LINEAGE), (blank(c("lineage.normalization_version")), "lineage lacks normalization_version"),
-        (F.exists("unmapped", lambda u: blank(u["source_concept"]) | blank(u["reason"])), "unmapped concept is malformed"),
+        (~c("contract").eqNullSafe(F.lit(contract)), "CONTRACT_OTHER"), (~c("contract_version").eqNullSafe(F.lit(version)), "CONTRACT_VERSION_OTHER"),
+        *((F.coalesce(F.size(c(f"lineage.{k}")), F.lit(0)) < 1, f"LINEAGE_EMPTY_{k.upper()}") for k in LINEAGE), (blank(c("lineage.normalization_version")), "LINEAGE_EMPTY_NORMALIZATION_VERSION"),
+        (F.exists("unmapped", lambda u: blank(u["source_concept"]) | blank(u["reason"])), "UNMAPPED_UNFIT"),
     ]
     found = F.array_compact(F.array(*[F.when(F.coalesce(cond, F.lit(True)), text) for cond, text in checks]))
     inner = payload_violations(snapshot).select("filing_id", F.col("violations").alias("inner"))

@@ -402,7 +402,7 @@ def c07(t):
 
 
 @query("c08_payload_contract", """
-    select f.filing_id, concat_ws('; ', case when f.quality_status <> 'VERIFIED' then 'quality status or version' end, case when bool_or(n.value is null or n.value < 0 and false) then 'invalid decimal value' end) as violations from v_filings f join v_norm n on n.filing_id = f.filing_id group by f.filing_id, f.quality_status
+    select f.filing_id, concat_ws('; ', case when f.quality_status <> 'VERIFIED' then 'QUALITY_UNFIT' end, case when bool_or(n.value is null) then 'VALUE_NOT_DECIMAL' end) as violations from v_filings f join v_norm n on n.filing_id = f.filing_id group by f.filing_id, f.quality_status
 """)
 def c08(t):
     return P.payload_violations(t.v_payloads).select("filing_id", F.array_join("violations", "; ").alias("violations"))

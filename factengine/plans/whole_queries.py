@@ -246,9 +246,9 @@ def c33(t):
 
 
 @query("c34_snapshot_contract", """
-    select f.filing_id, concat_ws('; ', case when o_orderkey % 10 = 9 then 'contract version' end, case when o_orderkey % 10 = 7 then 'lineage lacks raw_fact_ids' end, case when quality_status <> 'VERIFIED' then 'quality status or version' end,
-        case when o_orderkey % 10 = 2 then 'source provenance' end, case when o_orderkey % 10 = 3 then 'storage reference must be logical' end, case when o_orderkey % 10 = 4 and missing then 'invalid decimal value' end,
-        case when o_orderkey % 10 = 7 then 'lineage lacks raw facts' end, case when o_orderkey % 10 = 8 then 'limitation is malformed' end) as violations
+    select f.filing_id, concat_ws('; ', case when o_orderkey % 10 = 9 then 'CONTRACT_VERSION_OTHER' end, case when o_orderkey % 10 = 7 then 'LINEAGE_EMPTY_RAW_FACT_IDS' end, case when quality_status <> 'VERIFIED' then 'QUALITY_UNFIT' end,
+        case when o_orderkey % 10 = 2 then 'SOURCE_INCOMPLETE' end, case when o_orderkey % 10 = 3 then 'STORAGE_NOT_LOGICAL' end, case when o_orderkey % 10 = 4 and missing then 'VALUE_NOT_DECIMAL' end,
+        case when o_orderkey % 10 = 7 then 'LINEAGE_MISSES_SOURCE' end, case when o_orderkey % 10 = 8 then 'LIMITATION_UNFIT' end) as violations
     from v_filings f join (select filing_id, bool_or(value is null) as missing from v_norm group by filing_id) n on n.filing_id = f.filing_id
 """)
 def c34(t):
