@@ -2,6 +2,8 @@
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..sources.sinks import scratch
+
 
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row per key: the first in order. Spark keeps one row per key and task before it shuffles."""
@@ -36,3 +38,18 @@ def page_with_total(df: DataFrame, order: list[Column], number: int, size: int)
     """A page with the number of all rows beside each of its rows."""
     total = df.agg(F.count("*")).scalar()
     return page(df, order, number, size).withColumn("total", total)
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with ``name``, each row's number in the whole order, from 1.
+
+    Rows are sorted in ranges and written once; a row's number is its place in its
+    range and the count of the ranges before, so no task sees all rows.
+    """
+    path = scratch(df.sparkSession, "numbered")
+    df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path).withColumn("_range", F.shiftright("_id", 33))
+    counts = rows.groupBy("_range").agg(F.count("*").alias("_n"))  # a row for each range
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before") + 1
+    return rows.join(counts.select("_range", before.alias("_before")), "_range").withColumn(name, place).drop("_id", "_range", "_before")

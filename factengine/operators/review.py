@@ -90,12 +90,19 @@ def fact_detail(facts: DataFrame, filings: DataFrame, raw: DataFrame, contexts:
 
 
 def validation_detail(results: DataFrame, facts: DataFrame, filings: DataFrame) -> DataFrame:
-    """results with input_facts, the filing's own facts among their evidence, and the filing; foreign evidence is left out."""
+    """results with input_facts, the filing's own facts among their evidence, and the filing; foreign evidence is left out.
+
+    Facts and results are grouped by filing once each, and a filing's results take their facts from its array.
+    """
     item = F.struct("normalized_fact_id", "canonical_concept", F.col("value").cast("string").alias("value"), "currency", "source_concept")
     owned = facts.groupBy("filing_id").agg(F.array_sort(F.collect_list(item)).alias("owned"))
+    rest = [c for c in results.columns if c != "filing_id"]
+    judged = results.groupBy("filing_id").agg(F.collect_list(F.struct(*rest)).alias("judged"))
     head = filings.select("filing_id", F.struct("filing_id", "issuer_code", "fiscal_period", "revision_number").alias("filing"))
-    out = results.join(owned, "filing_id", "left").join(head, "filing_id", "left")
-    return out.withColumn("input_facts", F.filter("owned", lambda x: F.array_contains("evidence", x["normalized_fact_id"]))).drop("owned")
+    own = lambda r: F.filter("owned", lambda x: F.array_contains(r["evidence"], x["normalized_fact_id"]))
+    detailed = F.transform("judged", lambda r: F.struct(*[r[c].alias(c) for c in rest], own(r).alias("input_facts")))
+    out = judged.join(owned, "filing_id", "left").join(head, "filing_id", "left")
+    return out.select("filing_id", F.explode(detailed).alias("r"), "filing").select("filing_id", "r.*", "filing")
 
 
 def series_history(mappings: DataFrame) -> DataFrame:

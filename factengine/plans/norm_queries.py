@@ -152,24 +152,43 @@ def j17(t):
     return t.v_impact
 
 
-REQUESTED = "select mapping_rule_id, filing_id from v_filings, v_current where o_orderkey % 50 = 1"
+#: A current mapping asked for each filing, by the filing's number.
+_ASKED = ["M02", "M03", "M05", "M06", "M07", "M08"]
+REQUESTED = f"select m.mapping_rule_id, f.filing_id, f.o_orderkey, m.rule_version from v_filings f join v_current m on m.mapping_rule_id = ({_ASKED})[1 + f.o_orderkey % 6]"
+#: The same, and every mapping that a filing has a fact of the concept of.
+OF_CONCEPTS = f"""
+    {REQUESTED} union
+    select m.mapping_rule_id, r.filing_id, f.o_orderkey, m.rule_version from (select distinct filing_id, source_concept from v_raw_facts) r
+    join v_current m on m.source_concept = r.source_concept join v_filings f on f.filing_id = r.filing_id
+"""
+
+
+def requested(t):
+    """(mapping_rule_id, filing_id, o_orderkey, rule_version) of REQUESTED."""
+    rule = F.element_at(F.array(*map(F.lit, _ASKED)), (1 + C("o_orderkey") % 6).cast("int"))
+    asked = t.v_filings.select("filing_id", "o_orderkey", rule.alias("mapping_rule_id"))
+    return asked.join(t.v_current.select("mapping_rule_id", "rule_version"), "mapping_rule_id").select("mapping_rule_id", "filing_id", "o_orderkey", "rule_version")
+
 
+def of_concepts(t):
+    """The same of OF_CONCEPTS: a few for each filing, found by its concepts."""
+    asked = t.v_raw_facts.select("filing_id", "source_concept").distinct().join(t.v_current.select("source_concept", "mapping_rule_id", "rule_version"), "source_concept")
+    own = asked.join(t.v_filings.select("filing_id", "o_orderkey"), "filing_id").select("mapping_rule_id", "filing_id", "o_orderkey", "rule_version")
+    return own.unionByName(requested(t)).distinct()
 
-def requested(t, filings=None):
-    """Every mapping asked for each filing; without ``filings``, for those of REQUESTED."""
-    filings = t.v_filings.where(C("o_orderkey") % 50 == 1) if filings is None else filings
-    asked = filings.select(F.explode(F.array(*[F.lit(f"M0{i}") for i in (2, 3, 5, 6, 7, 8)])).alias("mapping_rule_id"), "filing_id")
-    return asked.join(t.v_current.select("mapping_rule_id"), "mapping_rule_id", "left_semi")
 
+def _outside(asked: str) -> str:
+    return f"select a.mapping_rule_id, a.filing_id from ({asked}) a left join v_impact i on i.mapping_rule_id = a.mapping_rule_id and i.filing_id = a.filing_id where i.filing_id is null"
 
-@query("j18_outside_impact", f"select * from ({REQUESTED}) where (mapping_rule_id, filing_id) not in (select (mapping_rule_id, filing_id) from v_impact)")
+
+@query("j18_outside_impact", _outside(REQUESTED))
 def j18(t):
-    return requested(t).join(t.v_impact, ["mapping_rule_id", "filing_id"], "left_anti")
+    return requested(t).join(t.v_impact, ["mapping_rule_id", "filing_id"], "left_anti").select("mapping_rule_id", "filing_id")
 
 
-@query("j25_all_outside_impact", "select m.mapping_rule_id, f.filing_id from v_filings f cross join v_current m left join v_impact i on i.mapping_rule_id = m.mapping_rule_id and i.filing_id = f.filing_id where i.filing_id is null")
+@query("j25_all_outside_impact", _outside(OF_CONCEPTS))
 def j25(t):
-    return requested(t, t.v_filings).join(t.v_impact, ["mapping_rule_id", "filing_id"], "left_anti")
+    return of_concepts(t).join(t.v_impact, ["mapping_rule_id", "filing_id"], "left_anti").select("mapping_rule_id", "filing_id")
 
 
 @query("j19_evidence_ownership", """
@@ -184,9 +203,12 @@ def j19(t):
     return evidence_problems(asked, t.v_norm.select(C("normalized_fact_id").alias("e"), C("canonical_concept").alias("owner"))).select("filing_id", "e", "problem")
 
 
-@query("j20_foreign_evidence", "select r.filing_id, fact_id from (select filing_id, unnest(string_split(evidence, ',')) as fact_id from v_results where evidence <> '' and rule_code = 'ACC-001') r where fact_id not in (select normalized_fact_id from v_norm where filing_id = r.filing_id and not dimensioned)")
+@query("j20_foreign_evidence", """
+    select r.filing_id, r.fact_id from (select filing_id, unnest(string_split(evidence, ',')) as fact_id from v_results where evidence <> '') r
+    left join v_norm n on n.filing_id = r.filing_id and n.normalized_fact_id = r.fact_id and not n.dimensioned where n.normalized_fact_id is null
+""")
 def j20(t):
-    return foreign_evidence(t, t.v_results.where(C("rule_code") == "ACC-001")).select("filing_id", "fact_id")
+    return foreign_evidence(t, t.v_results).select("filing_id", "fact_id")
 
 
 def foreign_evidence(t, results):

@@ -4,10 +4,10 @@ from pyspark.sql import Window as W, functions as F
 
 from ..functions import ids, scalars as S
 from ..operators import ops as O, publish as P, review as RV, versions as V
-from ..operators.latest import at_latest_version, keyset_page, latest, page
+from ..operators.latest import at_latest_version, keyset_page, latest, numbered, page
 from ..sources import files as FS, xbrl as X
 from ..streaming import flows as T
-from .norm_queries import raw_series, requested
+from .norm_queries import OF_CONCEPTS, REQUESTED, of_concepts, raw_series, requested
 from .projection import VIEWS
 from .registry import query
 
@@ -105,15 +105,19 @@ def l02(t):
     return keyset_page(t.v_filings.select("filing_id", "published_at"), "published_at", "filing_id", (datetime.datetime(1998, 1, 1), "F5")).select("filing_id", "has_more")
 
 
-@query("l03_activity_order", "select filing_id, row_number() over (order by last is null, last desc, filing_id) as place from (select f.filing_id, l.last from v_filings f left join (select filing_id, max(coalesce(finished_at, created_at)) as last from v_job_runs group by filing_id) l on l.filing_id = f.filing_id) order by place limit 100")
+@query("l03_activity_order", """
+    select filing_id, row_number() over (order by last is null, last desc, filing_id) as place
+    from (select f.filing_id, l.last from v_filings f left join (select filing_id, max(coalesce(finished_at, created_at)) as last from v_job_runs group by filing_id) l on l.filing_id = f.filing_id)
+""")
 def l03(t):
-    first = O.listing(t.v_filings, t.v_job_runs).orderBy(F.desc_nulls_last("last_processed_at"), F.asc("filing_id")).limit(100)
-    return first.select("filing_id", F.row_number().over(W.orderBy(F.desc_nulls_last("last_processed_at"), F.asc("filing_id"))).cast("bigint").alias("place"))
+    rows = O.listing(t.v_filings, t.v_job_runs).select("filing_id", "last_processed_at")
+    return numbered(rows, [F.desc_nulls_last("last_processed_at"), F.asc("filing_id")], "place").select("filing_id", "place")
 
 
-@query("l04_fact_order", "select normalized_fact_id from v_norm order by canonical_concept, cast(period_end as varchar) desc, normalized_fact_id limit 100")
+@query("l04_fact_order", "select normalized_fact_id, row_number() over (order by canonical_concept, cast(period_end as varchar) desc nulls last, normalized_fact_id) as place from v_norm")
 def l04(t):
-    return t.v_norm.orderBy("canonical_concept", F.desc("period_end"), "normalized_fact_id").limit(100).select("normalized_fact_id")
+    rows = t.v_norm.select("normalized_fact_id", "canonical_concept", "period_end")
+    return numbered(rows, [F.asc("canonical_concept"), F.desc_nulls_last("period_end"), F.asc("normalized_fact_id")], "place").select("normalized_fact_id", "place")
 
 
 @query("l05_options", "select p_partkey, p_name from part where p_name ilike '%an%' order by p_name, p_partkey limit 100")
@@ -455,14 +459,14 @@ def c13(t):
 @query("c14_create_versions", """
     with r as (select s.*, 'R' || f.o_orderkey as request_id, f.o_orderkey, case when f.o_orderkey % 3 = 0 then s.rule_version + 1 else (select max(rule_version) from v_series x where x.series_key = s.series_key) end as expected, (select max(rule_version) from v_series x where x.series_key = s.series_key) as now,
             (select arg_max(mapping_rule_id, (rule_version, mapping_rule_id)) from v_series x where x.series_key = s.series_key) as top, case when f.o_orderkey % 5 = 0 then 'other' else s.source_concept end as concept
-        from v_filings f join v_series s on s.mapping_rule_id = 'M0' || (1 + f.o_orderkey % 8) where f.fiscal_year = 1996),
+        from v_filings f join v_series s on s.mapping_rule_id = 'M0' || (1 + f.o_orderkey % 8)),
     coded as (select *, case when concept <> source_concept then 'MAPPING_SERIES_MISMATCH' when expected <> now then 'MAPPING_VERSION_STALE' end as code from r),
     ranked as (select *, sum(case when code is null then 1 else 0 end) over (partition by series_key order by request_id) as nth from coded),
     final as (select *, case when code is null and nth > 1 then 'MAPPING_VERSION_CONFLICT' else code end as done from ranked)
     select request_id, done as code, case when done is null then now + 1 end as rule_version, case when done is null then top end as supersedes from final
 """)
 def c14(t):
-    return versions(t, t.v_filings.where(C("fiscal_year") == 1996))
+    return versions(t, t.v_filings)
 
 
 def versions(t, filings):
@@ -489,28 +493,28 @@ def c26(t):
     return versions(t, t.v_filings).withColumn("rule_version", C("rule_version").cast("string"))
 
 
-@query("c15_reprocess_set", """
-    with r as (select mapping_rule_id, filing_id, case when o_orderkey % 4 = 1 then 99 else rule_version end as expected from v_filings, v_current where o_orderkey % 50 = 1)
-    select r.mapping_rule_id, r.filing_id, case when m.rule_version <> r.expected then 'MAPPING_SET_VERSION_STALE' when m.status <> 'APPROVED' then 'MAPPING_NOT_APPROVED' when i.filing_id is null then 'FILING_OUTSIDE_IMPACT' when r.filing_id in (select filing_id from v_job_runs where status = 'RUNNING') then 'ACTIVE_OPERATION' end as code
-    from r join v_current m on m.mapping_rule_id = r.mapping_rule_id left join v_impact i on i.mapping_rule_id = r.mapping_rule_id and i.filing_id = r.filing_id
-""")
-def c15(t):
-    return reprocess(t, requested(t))
+def _reprocess(asked: str) -> str:
+    return f"""
+        select a.mapping_rule_id, a.filing_id, case when o_orderkey % 4 = 1 then 'MAPPING_SET_VERSION_STALE' when m.status <> 'APPROVED' then 'MAPPING_NOT_APPROVED' when i.filing_id is null then 'FILING_OUTSIDE_IMPACT' when r.filing_id is not null then 'ACTIVE_OPERATION' end as code
+        from ({asked}) a join v_current m on m.mapping_rule_id = a.mapping_rule_id left join v_impact i on i.mapping_rule_id = a.mapping_rule_id and i.filing_id = a.filing_id
+        left join (select distinct filing_id from v_job_runs where status = 'RUNNING') r on r.filing_id = a.filing_id
+    """
 
 
 def reprocess(t, asked):
-    asked = asked.join(t.v_filings.select("filing_id", "o_orderkey"), "filing_id").join(t.v_current.select("mapping_rule_id", C("rule_version").alias("v")), "mapping_rule_id")
-    asked = asked.select("mapping_rule_id", "filing_id", F.when(C("o_orderkey") % 4 == 1, 99).otherwise(C("v")).alias("expected_version"))
+    expected = F.when(C("o_orderkey") % 4 == 1, 99).otherwise(C("rule_version")).alias("expected_version")
+    asked = asked.select("mapping_rule_id", "filing_id", expected)
     return RV.reprocess(asked, t.v_current, t.v_impact, t.v_raw_facts, t.v_job_runs.where(C("status") == "RUNNING"))
 
 
-@query("c25_whole_reprocess_set", """
-    with r as (select mapping_rule_id, filing_id, case when o_orderkey % 4 = 1 then 99 else rule_version end as expected from v_filings, v_current)
-    select r.mapping_rule_id, r.filing_id, case when m.rule_version <> r.expected then 'MAPPING_SET_VERSION_STALE' when m.status <> 'APPROVED' then 'MAPPING_NOT_APPROVED' when i.filing_id is null then 'FILING_OUTSIDE_IMPACT' when r.filing_id in (select filing_id from v_job_runs where status = 'RUNNING') then 'ACTIVE_OPERATION' end as code
-    from r join v_current m on m.mapping_rule_id = r.mapping_rule_id left join v_impact i on i.mapping_rule_id = r.mapping_rule_id and i.filing_id = r.filing_id
-""")
+@query("c15_reprocess_set", _reprocess(REQUESTED))
+def c15(t):
+    return reprocess(t, requested(t))
+
+
+@query("c25_whole_reprocess_set", _reprocess(OF_CONCEPTS))
 def c25(t):
-    return reprocess(t, requested(t, t.v_filings))
+    return reprocess(t, of_concepts(t))
 
 
 @query("c16_prerequisites", """
@@ -588,11 +592,10 @@ def c23(t):
     return FS.result_violations(FS.parse_results(parser_results(t)), "2.0.0")
 
 
-@query("s07_record_sets", "select filing_id, count(*) as facts from v_raw_facts where filing_id in (select filing_id from v_filings where o_orderkey % 9 not in (2)) group by filing_id")
+@query("s07_record_sets", "select r.filing_id, count(*) + max(case when f.o_orderkey % 9 = 2 then 1 else 0 end) as facts from v_raw_facts r join v_filings f on f.filing_id = r.filing_id group by r.filing_id")
 def s07(t):
     sets = FS.record_sets(FS.parse_results(parser_results(t)))
-    odd = t.v_filings.where(C("o_orderkey") % 9 != 2).select(C("filing_id").alias("result_filing_id"))
-    return sets["facts"].select("result_filing_id").join(odd, "result_filing_id", "left_semi").groupBy(C("result_filing_id").alias("filing_id")).agg(F.count("*").alias("facts"))
+    return sets["facts"].groupBy(C("result_filing_id").alias("filing_id")).agg(F.count("*").alias("facts"))
 
 
 @query("c22_test_pack_report", "select count(*) as tests, cast(sum(case when matches = 1 then 1 else 0 end) as bigint) as single from (select x.filing_id, count(n.normalized_fact_id) as matches from v_norm x left join v_norm n on n.filing_id = x.filing_id and n.canonical_concept = 'revenue' and not n.dimensioned where x.canonical_concept = 'current_assets' group by x.filing_id)")
@@ -614,13 +617,19 @@ def j15(t):
     return O.listing(t.v_filings, t.v_job_runs).select("filing_id", ts("last_processed_at").alias("last_processed"))
 
 
-@query("t01_incremental_discovery", "select idempotency_key from (select sha256('discovery|source_adapter=web|discovery_window=d|stable_candidate_identity=' || filing_id || '@1') as idempotency_key from v_job_runs) group by 1")
+_DISCOVERED = "sha256('discovery|source_adapter=web|discovery_window=d|stable_candidate_identity=' || filing_id || '@' || {})"
+
+
+@query("t01_incremental_discovery", f"select distinct {_DISCOVERED.format('(1 + run_id % 3)')} as idempotency_key from v_job_runs where {_DISCOVERED.format('(1 + run_id % 3)')} not in (select {_DISCOVERED.format('revision_number')} from v_filings)")
 def t01(t):
+    """Revisions of filings that executions name and that are not registered yet, once each."""
     from ..sources.sinks import new_rows
 
-    key = ids.idempotency_key("discovery", {"source_adapter": F.lit("web"), "discovery_window": F.lit("d"), "stable_candidate_identity": F.concat("filing_id", F.lit("@1"))})
-    rows = t.v_job_runs.select(key.alias("idempotency_key"), "created_at")
-    return new_rows(rows, rows.where(F.lit(False)), ["idempotency_key"]).select("idempotency_key")
+    def keyed(rows, revision):
+        identity = F.concat("filing_id", F.lit("@"), revision.cast("string"))
+        return rows.select(ids.idempotency_key("discovery", {"source_adapter": F.lit("web"), "discovery_window": F.lit("d"), "stable_candidate_identity": identity}).alias("idempotency_key"))
+
+    return new_rows(keyed(t.v_job_runs, 1 + C("run_id") % 3), keyed(t.v_filings, C("revision_number")), ["idempotency_key"])
 
 
 @query("t02_incremental_normalize", "select status, count(*) as rows from v_outcomes group by status")

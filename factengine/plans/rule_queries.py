@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import quality as Q, rules as R, wide as WD
+from ..operators import audit as A, quality as Q, rules as R, wide as WD
 from .projection import VIEWS
 from .registry import query
 
@@ -164,8 +164,9 @@ _audit = " union all ".join(f"select filing_id, '{c}' as rule_code, {r} as resul
     from ({_audit}) group by filing_id
 """)
 def c24(t):
-    found = R.evaluate(t.v_wide, {c: R.RULES[c] for c in AUDITED}, mode="batch")
-    return Q.batch_status(found).join(found.groupBy("filing_id").agg(F.count("*").alias("rules")), "filing_id").select("filing_id", "rules", "errors", "warnings", "status")
+    found = R.outcomes(t.v_wide, {c: R.RULES[c] for c in AUDITED}, mode="batch")
+    short = F.transform("outcomes", lambda x: F.struct(x["rule_code"].alias("rule_code"), x["o"]["result"].alias("result"), x["severity"].alias("severity")))
+    return A.summary(found.select("filing_id", short.alias("outcomes"))).select("filing_id", "rules", "errors", "warnings", "status")
 
 
 @query("a01_wide_facts", f"select filing_id, {', '.join(f'cast({c} as varchar) as {c}' for c in R.CONCEPTS)} from v_wide where filing_id in (select filing_id from v_norm)")

@@ -213,10 +213,9 @@ def c31(t):
 
 
 @query("c32_validation_detail", """
-    select r.filing_id, r.rule_code, f.issuer_code, coalesce(x.inputs, '') as inputs from v_results r join v_filings f on f.filing_id = r.filing_id
-    left join (select e.filing_id, e.rule_code, string_agg(n.normalized_fact_id || '=' || coalesce(cast(n.value as varchar), 'null'), ',' order by n.normalized_fact_id) as inputs
-        from (select distinct filing_id, rule_code, unnest(string_split(evidence, ',')) as id from v_results where evidence <> '') e join v_norm n on n.filing_id = e.filing_id and n.normalized_fact_id = e.id group by 1, 2) x
-        on x.filing_id = r.filing_id and x.rule_code = r.rule_code
+    select r.filing_id, r.rule_code, any_value(f.issuer_code) as issuer_code, coalesce(string_agg(n.normalized_fact_id || '=' || coalesce(cast(n.value as varchar), 'null'), ',' order by n.normalized_fact_id), '') as inputs
+    from (select filing_id, rule_code, unnest(list_distinct(string_split(evidence, ','))) as id from v_results) r join v_filings f on f.filing_id = r.filing_id
+    left join v_norm n on n.filing_id = r.filing_id and n.normalized_fact_id = r.id group by r.filing_id, r.rule_code
 """)
 def c32(t):
     rows = RV.validation_detail(t.v_results, t.v_norm, t.v_filings)

@@ -57,3 +57,14 @@ def test_versions_in_order(spark, block):
 def test_no_requests(spark):
     none = keyed(spark.createDataFrame([], REQUESTS)).drop("wrong")
     assert OR.versions_in_order(none, keyed(spark.createDataFrame([("M1", "n", "A", "e", 3)], MAPPINGS)), spark.createDataFrame([], "evidence_id string, source_concept string")).collect() == []
+
+
+def test_numbers_in_the_whole_order(spark):
+    from factengine.operators.latest import numbered
+
+    rows = spark.range(0, 5000, 1, 7).selectExpr("id", "cast(nullif(id % 40, 3) as int) as k")
+    got = numbered(rows, [F.desc_nulls_last("k"), F.asc("id")], "place").collect()
+    want = sorted(rows.collect(), key=lambda r: (r.k is None, -(r.k or 0), r.id))
+    assert [r.id for r in sorted(got, key=lambda r: r.place)] == [r.id for r in want]
+    assert sorted(r.place for r in got) == list(range(1, 5001))
+    assert numbered(rows.limit(0), [F.asc("id")], "place").collect() == []
