@@ -88,12 +88,13 @@ def normalize(facts: DataFrame, mappings: DataFrame, dictionary: DataFrame, vers
     bad = S.invalid_number(c("is_nil"), null, c("raw_value")) | (text.isNotNull() & S.decimal_of(text).isNull())
     out = one.withColumn("value", S.signed(S.decimal_of(text), c("m.sign_convention")))
     used, wrong = F.array().cast("array<string>"), F.lit(False)
-    for name, condition, value in exceptions:
-        hit = F.coalesce(condition, F.lit(False))
-        changed = value.try_cast(S.DECIMAL)
-        wrong = wrong | (hit & value.isNotNull() & changed.isNull())
-        out = out.withColumn("value", F.when(hit, changed).otherwise(c("value")))
-        used = F.when(hit, F.array_append(used, F.lit(name))).otherwise(used)
+    for i, (name, condition, value) in enumerate(exceptions):
+        # columns of their own: what they read is the value before this exception
+        hit, changed = F.coalesce(condition, F.lit(False)), value.try_cast(S.DECIMAL)
+        out = out.withColumns({f"_hit{i}": hit, f"_changed{i}": changed, f"_wrong{i}": hit & value.isNotNull() & changed.isNull()})
+        out = out.withColumn("value", F.when(c(f"_hit{i}"), c(f"_changed{i}")).otherwise(c("value")))
+        wrong = wrong | c(f"_wrong{i}")
+        used = F.when(c(f"_hit{i}"), F.array_append(used, F.lit(name))).otherwise(used)
     out = out.withColumn("exception_versions", F.when(F.size(used) == 0, "NONE").otherwise(F.array_join(used, ",")))
     r = [F.lit(x) for x in REASONS]
     reason = (

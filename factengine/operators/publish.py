@@ -37,6 +37,24 @@ def limitations(results: DataFrame, facts: DataFrame) -> DataFrame:
     return from_results.unionAll(from_facts).groupBy("filing_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
 
 
+def disclosures(results: DataFrame, facts: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(filing_id, items, unmapped): what a published filing has to say of itself.
+
+    items are results that did not pass and are no errors, with their own id among the references, and facts without a
+    value, by code and references; unmapped are the distinct concepts that were not normalized. Filings without
+    either are left out; a list without entries is empty.
+    """
+    own = result_id("filing_id", "rule_code", F.col("rule_version").cast("string"), "result")
+    references = F.array_sort(F.array_distinct(F.array_append("evidence", own)))
+    item = F.struct(F.concat(F.lit("VALIDATION_"), "rule_code").alias("code"), references.alias("references"), "severity", "message")
+    from_results = results.where(_disclosed()).select("filing_id", item.alias("item"))
+    from_facts = facts.where(F.col("availability") != "AVAILABLE").select("filing_id", _of_fact().alias("item"))
+    items = from_results.unionAll(from_facts).groupBy("filing_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    both = items.join(unmapped_concepts(outcomes), "filing_id", "full")
+    empty = lambda name: F.coalesce(name, F.array().cast(both.schema[name].dataType)).alias(name)
+    return both.select("filing_id", empty("items"), empty("unmapped"))
+
+
 def unmapped_concepts(outcomes: DataFrame) -> DataFrame:
     """(filing_id, unmapped): distinct concepts that were not normalized, with references and reasons."""
     item = F.struct("source_concept", F.col("raw_fact_id").alias("source_reference"), "reason")
