@@ -418,13 +418,6 @@ def c09(t):
     return rows.select("filing_id", F.size("items").cast("bigint").alias("items"), F.size(F.array_distinct(F.transform("items", lambda i: i["code"]))).cast("bigint").alias("codes"))
 
 
-@query("c10_published_document")
-def c10(t):
-    from ..sources.sinks import documents_json
-
-    return documents_json(t.v_payloads.where(C("quality_status") == "VERIFIED"), ["filing", "quality", "source", "facts", "lineage", "limitations"]).select("filing_id", "etag")
-
-
 @query("s15_document_etag", "select filing_id, 'sha256-' || sha256('{\"filing_id\":\"' || filing_id || '\",\"revision_number\":' || revision_number || ',\"supersedes_filing_id\":' || coalesce('\"' || supersedes_filing_id || '\"', 'null') || '}') as etag from v_filings")
 def s15(t):
     from ..sources.sinks import documents_json
