@@ -102,7 +102,8 @@ def is_strict_date(text: Column) -> Column:
 def utc_of_text(text: Column) -> Column:
     """A time with an offset or Z as UTC to the second, in utc_text's form; null for texts without an offset and for what is no time."""
     zoned = text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:?\d{2})$")
-    at = F.when(zoned, F.try_to_timestamp(F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2")))
+    timed = F.regexp_replace(text, r"^(.{10}[T ]\d{2}:\d{2})(Z|[+-])", "$1:00$2")
+    at = F.when(zoned, F.try_to_timestamp(F.regexp_replace(timed, r"([+-]\d{2})(\d{2})$", "$1:$2")))
     return F.date_format(F.convert_timezone(None, F.lit("UTC"), at.cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
 
 
