@@ -59,3 +59,23 @@ def report(violations: DataFrame, sizes: dict[str, DataFrame]) -> DataFrame:
     for name, df in sizes.items():
         out = out.unionAll(df.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), "n"))
     return out
+
+
+def import_plan(rows: DataFrame, stored: DataFrame, key: list[str], values: list[str], violations: DataFrame, name: Column) -> DataFrame:
+    """rows with ``decision`` and ``checks``: what an import would do with each, without doing it.
+
+    REFUSED with the checks that a row violates (violations: check, id; ``name`` is a row's id in them), else UNCHANGED or
+    NEW_VERSION where its key is stored with the same or other values, else NEW. Stored keys are distinct.
+    """
+    c = F.col
+    digest = lambda: F.xxhash64(*[F.coalesce(c(v).cast("string"), F.lit("\x00")) for v in values])
+    refused = violations.groupBy(c("id").alias("_name")).agg(F.array_sort(F.collect_set("check")).alias("checks"))
+    known = stored.select(*key, digest().alias("_stored"))
+    out = rows.withColumns({"_name": name.cast("string"), "_own": digest()}).join(refused, "_name", "left").join(known, key, "left")
+    decision = F.when(c("checks").isNotNull(), "REFUSED").when(c("_stored").isNull(), "NEW").when(c("_stored") == c("_own"), "UNCHANGED").otherwise("NEW_VERSION")
+    return out.withColumns({"decision": decision, "checks": F.coalesce("checks", F.array().cast("array<string>"))}).drop("_name", "_own", "_stored")
+
+
+def to_import(plan: DataFrame) -> DataFrame:
+    """The rows of a plan that an import writes."""
+    return plan.where(F.col("decision").isin("NEW", "NEW_VERSION")).drop("decision", "checks")

@@ -85,3 +85,16 @@ def c44(t):
     failed = CT.test_pack(pack, t.v_norm).where(~C("passes")).select(F.lit("TESTS_FAILED").alias("check"), C("test_id").alias("id"))
     sizes = {"DICTIONARY_ROWS": t.v_dictionary_rows, "MAPPING_ROWS": t.v_mapping_rows, "TESTS": pack}
     return RD.report(t.v_reference_violations.unionAll(failed), sizes)
+
+
+@query("s25_import_plan", """
+    select r.source_concept, case when len(checks) > 0 then 'REFUSED' when k % 3 = 0 then 'UNCHANGED' when k % 3 = 1 then 'NEW_VERSION' else 'NEW' end as decision, array_to_string(coalesce(checks, []), ',') as checks
+    from (select *, cast(substr(source_concept, 5) as bigint) as k from v_mapping_rows) r
+    left join (select id, list_sort(list_distinct(list("check"))) as checks from v_reference_violations group by id) v on v.id = 'n#' || r.source_concept
+""")
+def s25(t):
+    """A dry run of an import of all mappings, two thirds of which are stored, half of these with another status."""
+    k = F.substring("source_concept", 5, 20).cast("bigint")
+    stored = t.v_mapping_rows.where(k % 3 < 2).withColumn("status", F.when(k % 3 == 1, "OLD").otherwise(C("status"))).dropDuplicates(["source_concept", "concept_namespace"])
+    plan = RD.import_plan(t.v_mapping_rows, stored, ["source_concept", "concept_namespace"], ["entry_point", "canonical_concept", "status"], t.v_reference_violations, F.concat_ws("#", "concept_namespace", "source_concept"))
+    return plan.select("source_concept", "decision", F.array_join("checks", ",").alias("checks"))

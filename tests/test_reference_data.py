@@ -32,3 +32,15 @@ def test_mappings(spark):
     bad = RD.mapping_violations(mappings, dictionary, facts, points)
     assert found(bad) == [("MAPPING_CONCEPT_UNKNOWN", "n#B"), ("MAPPING_ENTRY_POINT_UNKNOWN", "n#B"), ("MAPPING_REPEATED", "n#C"), ("MAPPING_REPEATED", "n#C"), ("MAPPING_SOURCE_ABSENT", "n#B"), ("MAPPING_STATUS_UNKNOWN", "n#B")]
     assert {r.check: r.n for r in RD.report(bad, {"MAPPINGS": mappings}).collect()} == {"MAPPING_CONCEPT_UNKNOWN": 1, "MAPPING_ENTRY_POINT_UNKNOWN": 1, "MAPPING_REPEATED": 2, "MAPPING_SOURCE_ABSENT": 1, "MAPPING_STATUS_UNKNOWN": 1, "MAPPINGS": 4}
+
+
+def test_import_plan(spark):
+    kind = "k string, v string, w int"
+    rows = spark.createDataFrame([("a", "x", 1), ("b", "y", None), ("c", "z", 3), ("d", None, 4), ("e", "q", 5)], kind)
+    stored = spark.createDataFrame([("a", "x", 1), ("b", "y", 0), ("d", None, 4), ("e", "old", 5)], kind)
+    bad = spark.createDataFrame([("P", "a"), ("O", "e"), ("P", "e"), ("P", "e")], "check string, id string")
+    from pyspark.sql import functions as F
+
+    plan = RD.import_plan(rows, stored, ["k"], ["v", "w"], bad, F.col("k"))
+    assert {r.k: (r.decision, r.checks) for r in plan.collect()} == {"a": ("REFUSED", ["P"]), "b": ("NEW_VERSION", []), "c": ("NEW", []), "d": ("UNCHANGED", []), "e": ("REFUSED", ["O", "P"])}
+    assert sorted(tuple(r) for r in RD.to_import(plan).collect()) == [("b", "y", None), ("c", "z", 3)] and RD.to_import(plan).columns == rows.columns
