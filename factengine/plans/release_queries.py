@@ -139,3 +139,21 @@ def s24(t):
     opened = t.spark.read.parquet(home)
     facts = X.facts(X.extract(opened.where(C("document").isNotNull()))).groupBy("filing_id").agg(F.count("*").alias("facts"))
     return opened.join(facts, "filing_id", "left").select("filing_id", "problem", "entry_point", F.coalesce("facts", F.lit(0)).cast("bigint").alias("facts"))
+
+
+@query("s26_schema_metadata", """
+    select filing_id, case when o_orderkey % 19 = 4 then null else 'http://t/' || fiscal_period end as target_namespace, case when o_orderkey % 19 = 4 then '' else 'http://i/' || issuer_code || ',http://i/common' end as imports,
+        case when o_orderkey % 19 = 4 then '' else 'a.xsd' end as import_locations, case when o_orderkey % 19 = 4 then '' else 'cal.xml,def.xml' end as linkbase_references,
+        case when o_orderkey % 19 = 4 then '' else 'http://r/' || fiscal_year || ',http://r/cal' end as linkbase_roles, o_orderkey % 19 = 4 as broken from v_filings
+""")
+def s26(t):
+    """A schema for each filing, some of them cut off, and what it names."""
+    text = F.format_string(
+        '<x:schema xmlns:x="http://www.w3.org/2001/XMLSchema" xmlns:l="http://l" xmlns:k="http://k" targetNamespace="http://t/%s"><x:import namespace="http://i/common"/><x:import namespace="http://i/%s" schemaLocation="a.xsd"/><x:import namespace="http://i/common" schemaLocation=" a.xsd"/>'
+        '<x:annotation><x:appinfo><l:linkbaseRef k:href="def.xml" k:role="http://r/cal"/><l:linkbaseRef k:href="cal.xml" k:role="http://r/cal"/><l:roleRef roleURI="http://r/%d"/></x:appinfo></x:annotation></x:schema>',
+        "fiscal_period", "issuer_code", "fiscal_year",
+    )
+    cut = F.when(C("o_orderkey") % 19 == 4, F.substring(text, 1, 200)).otherwise(text)
+    found = X.schema_metadata(t.v_filings.select("filing_id", cut.alias("schema")))
+    lists = [F.array_join(c, ",").alias(c) for c in ("imports", "import_locations", "linkbase_references", "linkbase_roles")]
+    return found.select("filing_id", "target_namespace", *lists, C("error").isNotNull().alias("broken"))

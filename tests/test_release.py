@@ -98,3 +98,11 @@ def test_archives_within_bounds(spark, tmp_path):
     found = {r.filing_id: (r.problem, r.issuer_code, r.period) for r in X.read_archives(spark, str(tmp_path), 50_000).collect()}
     assert found == {"AA-2024Q1": (None, "AA", "2024Q1"), "BB-2024Q1": ("TOO_LARGE", "BB", "2024Q1")}
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == batch
+
+
+def test_schema_metadata_of_odd_schemas(spark):
+    rows = spark.createDataFrame([("a", None), ("b", ""), ("c", "<schema/>"), ("d", "<schema targetNamespace='n'><!-- x --><import/><linkbaseRef href='z'/><linkbaseRef href='y'/></schema>")], "filing_id string, schema string")
+    got = {r.filing_id: r for r in X.schema_metadata(rows).collect()}
+    assert got["a"].error and got["b"].error and not got["c"].error and got["c"].imports == [] and got["c"].target_namespace is None
+    assert (got["d"].target_namespace, got["d"].imports, got["d"].linkbase_references, got["d"].linkbase_roles) == ("n", [], ["y", "z"], [])
+    assert X.schema_metadata(rows.limit(0)).collect() == []
