@@ -16,3 +16,20 @@ def test_semi_join_sees_each_concept_once(spark, sf_dir, name):
     plan = optimized(spark, sf_dir, name)
     right = re.split(r"Join LeftSemi.*", plan)[1].split("Generate explode")[0]
     assert "Aggregate [source_concept" in right
+
+
+def test_facts_of_a_filing_are_not_shuffled(spark, sf_dir):
+    """Rules read the facts where they are made: nothing is exploded and collected again."""
+    plan = optimized(spark, sf_dir, "c04_validation_run")
+    assert "collect_list(struct(normalized_fact_id" not in plan and "Generate explode(held" not in plan
+
+
+def test_lambda_reads_a_column_that_is_computed_once(spark):
+    from pyspark.sql import functions as F
+
+    from factengine.operators.rules import let
+
+    rows = spark.range(1).select(F.array(F.lit(1), F.lit(2), F.lit(3)).alias("a"))
+    one = rows.select(let(F.array_sort("a"), lambda s: F.filter("a", lambda x: F.array_contains(s, x))).alias("r"))
+    assert one.first().r == [1, 2, 3]
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("array_sort") == 1
