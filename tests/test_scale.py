@@ -33,3 +33,9 @@ def test_lambda_reads_a_column_that_is_computed_once(spark):
     one = rows.select(let(F.array_sort("a"), lambda s: F.filter("a", lambda x: F.array_contains(s, x))).alias("r"))
     assert one.first().r == [1, 2, 3]
     assert one._jdf.queryExecution().optimizedPlan().toString().count("array_sort") == 1
+
+
+def test_facts_of_a_filing_are_made_by_compiled_expressions(spark, sf_dir):
+    """A lambda over the facts is interpreted for each of them; what a fact is by its place is written out."""
+    made = [x for x in optimized(spark, sf_dir, "r17_crx_001").splitlines() if re.search(r"AS owned#", x)]
+    assert made and not any("lambdafunction" in x for x in made)
