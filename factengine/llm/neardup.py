@@ -202,6 +202,14 @@ def forest(linked: np.ndarray, asks: np.ndarray, there: np.ndarray) -> list[tupl
     return out
 
 
+def _once(blocks: DataFrame) -> DataFrame:
+    """blocks (band, mb, qb, cls, comp, asks) without those that hold the same as another one: near copies meet in many bands, and their sets are sent for each block. A block has a bounded number of members."""
+    members = F.sort_array(F.collect_list(F.struct("cls", "comp", "asks")))
+    each = blocks.groupBy("band", "mb", "qb").agg(members.alias("members"))
+    one = each.groupBy("members").agg(F.min(F.struct("band", "mb", "qb")).alias("of"))
+    return one.select("of.*", F.inline("members"))
+
+
 def _compare(dealt: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): components that some similar pair of a block links. dealt: (band, mb, qb, cls, comp, asks) of blocks."""
 
@@ -237,7 +245,7 @@ def _compare(dealt: DataFrame, classes: DataFrame, sets: DataFrame, percent: int
 
     keys, block = ["band", "mb", "qb"], "band bigint, mb int, qb int, cls bigint, comp bigint, asks int"
     left = freeze(map_groups(dealt.join(classes.select("cls", "n", "sketch"), "cls"), keys, candidates, block), "candidates")
-    return map_groups(left.join(sets, "cls"), keys, confirmed, "a bigint, b bigint").distinct()
+    return map_groups(_once(left).join(sets, "cls"), keys, confirmed, "a bigint, b bigint").distinct()
 
 
 def _blocks(size: str, weight: str) -> Column:

@@ -470,3 +470,13 @@ def test_pipeline(spark, sf_dir, docs):
     last = P.STAGES[-1][1](spark, now, sf_dir)
     assert last.where("round_trip").count() == now.count()
     assert P.run(spark, sf_dir).count() == now.count()
+
+
+def test_same_block_is_compared_once(spark):
+    from factengine.llm.neardup import _once
+
+    blocks = {(1, 0, 0): [(5, 5, 1), (7, 7, 0)], (2, 0, 0): [(7, 7, 0), (5, 5, 1)], (3, 0, 0): [(5, 5, 0), (7, 7, 1)], (4, 0, 1): [(5, 5, 1), (7, 7, 0), (9, 9, 0)]}
+    rows = spark.createDataFrame([(*k, *m) for k, ms in blocks.items() for m in ms], "band bigint, mb int, qb int, cls bigint, comp bigint, asks int")
+    want = sorted((*k, *m) for k, ms in blocks.items() if k != (2, 0, 0) for m in ms)
+    once = _once(rows)
+    assert once.columns == rows.columns and sorted(map(tuple, once.collect())) == want
