@@ -332,15 +332,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, keep:
     equal = known.groupBy("set_a", "set_b").agg(first.alias("first"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in ("sketch", "bands")))
     classes = freeze(equal.withColumn("cls", F.monotonically_increasing_id()), "classes")
 
-    rows = classes.select("cls", "n", F.explode("bands").alias("band"))
-    hubs = F.array(F.min("cls"), F.max("cls"), F.min_by("cls", F.xxhash64("cls")))
-    stars = rows.groupBy("band").agg(hubs.alias("hubs")).where(F.col("hubs")[0] < F.col("hubs")[1])
+    # counted and joined by one shuffle of the bands, so both read the same columns
+    rows = classes.select("cls", "n", F.explode("bands").alias("band")).repartition("band")
+    one = F.struct("cls", "n")
+    hubs = F.array(F.min(one), F.max(one), F.min_by(one, F.xxhash64("cls")))
+    stars = rows.groupBy("band").agg(hubs.alias("hubs")).where(F.col("hubs")[0]["cls"] < F.col("hubs")[1]["cls"])
     members = freeze(rows.join(stars, "band"), "buckets")  # (band, cls, n, hubs) of buckets with two classes at least
 
     fits = lambda n_a, n_b: 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
-    side = lambda c: classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
-    near = members.select(F.col("cls").alias("a"), F.explode("hubs").alias("b")).where(F.col("a") != F.col("b")).distinct()
-    near = near.join(side("a"), "a").join(side("b"), "b").where(fits("n_a", "n_b")).withColumn("estimate", _estimate("s_a", "s_b"))
+    side = lambda c: classes.select(F.col("cls").alias(c), F.col("sketch").alias(f"s_{c}"))
+    near = members.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.explode("hubs").alias("hub")).select("a", "n_a", F.col("hub.cls").alias("b"), F.col("hub.n").alias("n_b"))
+    near = near.where((F.col("a") != F.col("b")) & fits("n_a", "n_b")).select("a", "b").distinct()
+    near = near.join(side("a"), "a").join(side("b"), "b").withColumn("estimate", _estimate("s_a", "s_b"))
     best = freeze(near.where(F.col("estimate") >= ESTIMATE).groupBy("a").agg(F.max_by("b", F.struct("estimate", "b")).alias("b")), "hubs")
     sets = _sets(signed, classes, members.select("cls"), shingle)
     labels = components(_verify(best, sets, percent))
