@@ -47,3 +47,10 @@ def test_facts_are_made_after_the_last_join(spark, sf_dir, name):
     """A row that holds its filing's facts is some kilobytes: joins sort the narrow rows that facts are made from."""
     above = optimized(spark, sf_dir, name).split("AS owned#")[0]
     assert "Join " not in above and "Sort " not in above
+
+
+def test_rules_are_not_read_inside_a_lambda(spark, sf_dir):
+    """An expression over lambdas is interpreted with all its arguments, so each rule is a column of its own below it."""
+    plan = optimized(spark, sf_dir, "a06_status_distribution")
+    assert "Assets against liabilities and equity." not in plan.split("AS o_ACC-001#")[0].rsplit("Project [", 1)[0]
+    assert "AS o_ACC-001#" in plan
